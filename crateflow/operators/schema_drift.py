@@ -235,13 +235,17 @@ def old_paths(field: str) -> list[str]:
     return [p for p in dict.fromkeys(found) if migrate(p) == field]
 
 
-_NUMBER = r"^\s*([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
+_NUMBER = r"^\s*([-+]?(?:\d+[.,]?\d*|[.,]\d+)(?:[eE][-+]?\d+)?)"
 
 
 def number(text: Column) -> Column:
-    """Cast rule: the number at the start of a text (units may follow), ``m:ss`` as seconds, else null."""
+    """Cast rule: the number at the start of a text, with decimal point or comma; units may follow.
+
+    ``m:ss`` is read as seconds; commas before a point group thousands. Anything else is null.
+    """
     clock = r"^\s*(\d+):([0-5]\d(?:\.\d+)?)\s*$"
-    plain = F.regexp_extract(text, _NUMBER, 1).try_cast("double")
+    ungrouped = F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:,\d{3})*\.)", "")
+    plain = F.replace(F.regexp_extract(ungrouped, _NUMBER, 1), F.lit(","), F.lit(".")).try_cast("double")
     return F.when(text.rlike(clock), F.regexp_extract(text, clock, 1).try_cast("double") * 60 + F.regexp_extract(text, clock, 2).try_cast("double")).otherwise(plain)
 
 
