@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
-DEGREE = 16
-BEAM = 24
+DEGREE = 20
+BEAM = 32
 ALPHA = 1.2
 PROJECTED = 64
 BLOCK = 512

@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from crateflow.llm.pruned_graph import BLOCK, beam_search, build, project
 from crateflow.llm.vectors import matrix
 
-#: Rows of the sample on which centroids are fitted, at most about.
-SAMPLE = 6000
+#: Rows of the sample on which centroids are fitted: a 32nd, between these bounds.
+SAMPLE, SAMPLE_MOST = 6000, 100_000
 #: Indexed vectors a shard has on average, and about at most.
-SHARD, SHARD_MOST = 1500, 4096
-#: A vector also goes to centroids whose cosine is at most this much below its best.
-MARGIN = 0.05
-QUERY_BEAM = 32
+SHARD, SHARD_MOST = 8000, 20_000
+#: A vector also goes to centroids whose cosine is below its best by at most this share of the distance
+#: between the two centroids: about two and a half deviations of what parts two vectors of cosine 0.8.
+MARGIN = 0.015
+QUERY_BEAM = 48
 DIM = 512
 
 
@@ -53,11 +54,10 @@ def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def _sample(vectors: DataFrame, rows: int, dim: int) -> np.ndarray:
-    """Unit vectors of about SAMPLE rows, picked by a hash of the vector: a bounded number, the same each time."""
-    share = min(1.0, SAMPLE / max(rows, 1))
+    """Unit vectors picked by a hash of the vector: a bounded number, the same each time."""
+    share = min(1.0, min(max(rows / 32, SAMPLE), SAMPLE_MOST) / max(rows, 1))
     picked = vectors.where(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(share * (1 << 20))).select("v")
-    table = picked.dropDuplicates() .toArrow() if rows <= SAMPLE else picked.toArrow()
-    _, m = matrix(table.column(0), dim)
+    _, m = matrix(picked.toArrow().column(0), dim)
     return (m / np.linalg.norm(m, axis=1)[:, None]).astype(np.float32)
 
 
@@ -73,15 +73,16 @@ def route(vectors: DataFrame, rows: int, dim: int = DIM) -> DataFrame:
     ``vectors``: (id, v, attr, node). A partition sends the vector of a node once, not once per copy.
     """
     sample = _sample(vectors, rows, dim)
-    k = int(min(max(1, rows // SHARD), max(1, len(sample) // 16), 512))
+    k = int(min(max(1, rows // SHARD), max(1, len(sample) // 16)))
     centres = fit_centroids(sample, k) if len(sample) else np.zeros((1, dim), np.float32)
     load = np.bincount((sample @ centres.T).argmax(axis=1), minlength=len(centres)) / max(len(sample), 1) * rows
     split = np.maximum(1, np.ceil(load / SHARD_MOST)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(split)[:-1]])
-    shared = vectors.sparkSession.sparkContext.broadcast((centres, split, base))
+    apart = MARGIN * np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    shared = vectors.sparkSession.sparkContext.broadcast((centres, split, base, apart))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres, split, base = shared.value
+        centres, split, base, apart = shared.value
         sent: set[int] = set()
         for b in batches:
             at, m = matrix(b.column(0), dim)
@@ -96,7 +97,7 @@ def route(vectors: DataFrame, rows: int, dim: int = DIM) -> DataFrame:
             unit = (m / np.linalg.norm(m, axis=1)[:, None]).astype(np.float32)
             close = unit @ centres.T
             home = close.argmax(axis=1)
-            r, c = np.nonzero(close >= close.max(axis=1)[:, None] - MARGIN)
+            r, c = np.nonzero(close >= close.max(axis=1)[:, None] - apart[home] - 1e-7)
             times = split[c]
             r, c = np.repeat(r, times), np.repeat(c, times)
             sub = np.arange(len(r)) - np.repeat(np.cumsum(times) - times, times)
