@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import format_duplicates, markov_clusters, quantiles, similar_vectors
+from crateflow.llm import format_duplicates, garbled_text, markov_clusters, quantiles, similar_vectors, stuffed_pages
 from crateflow.llm.vectors import matrix
 from crateflow.operators.schema_drift import unify
 from crateflow.session import durable
@@ -21,6 +21,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "near_id").alias("id_a"), F.greatest("id", "near_id").alias("id_b")).distinct()
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_text.garbled(table(spark, d, "tracks", "id", "title", "artist")).select("id", "field_name")
+
+
+def p3_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled_text.garbled(table(spark, d, "tracks", "id", "title", "artist"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates.pairs(table(spark, d, "tracks", "id", "title", "artist", "duration_sec"))
 
@@ -83,6 +91,10 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.quantiles(quantiles.digest(values, _GROUP), _GROUP, (1.0, 25.0, 50.0, 75.0, 95.0, 99.0))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffed_pages.stuffed_pages(table(spark, d, "documents", "doc_id", "text", "agenda_item", "speaker")).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("p") and k[1].isdigit()}
 

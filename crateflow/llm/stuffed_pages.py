@@ -36,6 +36,8 @@ SLOTS = 1 << 18
 LAGS = 24
 FUNCTION_SHARE = 0.15
 UNKNOWN_SHARE = 0.3
+#: A text without links and with fewer words is no page.
+LEAST_WORDS = 6
 
 #: Frequent function words of English, French, Spanish and German.
 FUNCTION_WORDS = frozenset(
@@ -56,11 +58,21 @@ _DOTTED = re.compile(r"(?<![^\W_])(?:[^\W\d_]\.){3,}[^\W\d_]?")
 _LEET = str.maketrans("013457", "oieast")
 
 
+#: Only texts with this can hold a link or a dotted word.
+_MAYBE = re.compile(r"\w\.\w|://")
+
+
 def words(segment: str) -> list[str]:
     """Lower-cased words without links; obfuscated spellings undone."""
-    plain = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", _URL.sub(" ", segment))
+    if _MAYBE.search(segment):
+        segment = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", _URL.sub(" ", segment))
+    if not segment.isascii():
+        segment = unicodedata.normalize("NFC", segment)
     out = []
-    for w in _WORD.findall(unicodedata.normalize("NFC", plain.lower())):
+    for w in _WORD.findall(segment.lower()):
+        if w.isalpha():
+            out.append(w)
+            continue
         if any(c.isdigit() for c in w):
             if not any(c.isalpha() for c in w):
                 continue
@@ -129,7 +141,7 @@ def word_table(documents: DataFrame, text: str, headings: np.ndarray) -> np.ndar
                     at = [known[w] if w in known else known.setdefault(w, slot(w)) for w in found]
                     if len(known) > 500_000:
                         known.clear()
-                    kind = 0 if function_share(found) >= 0.2 else 1 if heads[at].mean() >= 0.2 else 2
+                    kind = 0 if function_share(found) >= 0.2 else 1 if heads[at].mean() >= 0.12 else 2
                     for x in at:
                         counts[x, kind] += 1
         hit = np.flatnonzero(counts.any(axis=1))
@@ -142,54 +154,66 @@ def word_table(documents: DataFrame, text: str, headings: np.ndarray) -> np.ndar
     return out
 
 
-def own_words(counts: np.ndarray, headings: np.ndarray) -> np.ndarray:
-    """Slots whose words are the corpus' own: in headings, or at least half in prose and its own lists."""
+def own_words(counts: np.ndarray, headings: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Slots whose words are the corpus' own: in headings or names, or mostly in prose and its own lists."""
     own = counts[:, 0] + counts[:, 1]
-    return headings | ((own > 0) & (own >= counts[:, 2]))
+    return headings | names | ((own > 0) & (own >= 1.5 * counts[:, 2]))
 
 
-def stuffed_share(text: str, own: np.ndarray) -> float:
-    """Share of the text's characters (white space left out) that stand in stuffed segments."""
-    total = bad = 0
+def stuffed_share(text: str, own: np.ndarray, known: dict[str, bool] | None = None) -> float:
+    """Share of the text's characters (white space left out) that stand in stuffed segments.
+
+    ``known`` keeps which words are the corpus' own, from text to text.
+    """
+    known = {} if known is None else known
     parts = segments(text)
     found = [words(s) for s in parts]
-    seen: Counter[str] = Counter(w for ws in found for w in ws)
-    house_before = False
-    for s, ws in zip(parts, found, strict=True):
-        size = len(s) - sum(map(str.isspace, s))
+    strange: list[list[str]] = []
+    for ws in found:
+        odd = []
+        for w in ws:
+            if w not in known:
+                known[w] = w in FUNCTION_WORDS or bool(own[slot(w)])
+            if not known[w]:
+                odd.append(w)
+        strange.append(odd)
+    seen = Counter(w for odd in strange for w in odd)
+    total = bad = 0
+    after_heading = False
+    for s, ws, unknown in zip(parts, found, strange, strict=True):
+        size = len("".join(s.split()))
         total += size
-        links = sum(len(m[0]) for m in _URL.finditer(s))
-        content = [w for w in ws if w not in FUNCTION_WORDS]
-        f = function_share(ws)
-        unknown = [w for w in content if not own[slot(w)]]
-        u = len(unknown) / max(1, len(content))
-        if not content:
+        links = sum(len(m[0]) for m in _URL.finditer(s)) if _MAYBE.search(s) else 0
+        content = [w for w in ws if w not in FUNCTION_WORDS] if unknown else ws
+        if not ws or not content:
             # a bare link belongs to the heading before it, else to a list of links
-            stuffed = links > 0.5 * size and not house_before
-        elif f >= FUNCTION_SHARE and len(ws) > 3:
-            auto, gaps = regularity(content)
-            stuffed = u >= 0.5 and auto >= 0.5 and gaps >= 0.3
+            stuffed, after_heading = links > 0.5 * size and not after_heading, False
+        elif not unknown:
+            stuffed, after_heading = False, function_share(ws) < FUNCTION_SHARE
         else:
-            auto, gaps = regularity(content) if len(content) > 7 else (0.0, 0.0)
-            repeated = sum(seen[w] > 2 for w in unknown) / max(1, len(content))
-            stuffed = u >= UNKNOWN_SHARE or (u >= 0.15 and (auto >= 0.4 or gaps >= 0.4 or repeated >= 0.15)) or (links > 0.8 * size and u > 0)
-            if not stuffed:
-                house_before = links < 0.2 * size or u == 0
-        if content and stuffed:
-            house_before = False
+            u = len(unknown) / len(content)
+            auto, gaps = regularity(content)
+            again = sum(seen[w] > 2 for w in unknown) / len(content)
+            if 1 - len(content) / len(ws) >= FUNCTION_SHARE and len(ws) > 3:
+                stuffed = (u >= 0.5 and auto >= 0.4) or (u >= 0.4 and (again >= 0.3 or gaps >= 0.3))
+            else:
+                stuffed = u >= UNKNOWN_SHARE or (u >= 0.15 and (auto >= 0.4 or gaps >= 0.4 or again >= 0.15)) or links > 0.8 * size
+            after_heading = False
         bad += size * stuffed
-    return bad / total if total else 0.0
+    return bad / total if total and (sum(map(len, found)) >= LEAST_WORDS or _URL.search(text)) else 0.0
 
 
-def stuffed_pages(documents: DataFrame, id_col: str = "doc_id", text: str = "text", heading: str = "agenda_item", least: float = 0.5) -> DataFrame:
+def stuffed_pages(documents: DataFrame, id_col: str = "doc_id", text: str = "text", heading: str = "agenda_item", name: str = "speaker", least: float = 0.5) -> DataFrame:
     """(id_col, share): pages of which more than ``least`` is stuffed."""
     headings = heading_words(documents, heading)
-    shared = documents.sparkSession.sparkContext.broadcast(own_words(word_table(documents, text, headings), headings))
+    shared = documents.sparkSession.sparkContext.broadcast(own_words(word_table(documents, text, headings), headings, heading_words(documents, name)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, known = shared.value, {}
         for b in batches:
-            share = [stuffed_share(t, own) if t else 0.0 for t in b.column(1).to_pylist()]
+            if len(known) > 500_000:
+                known.clear()
+            share = [stuffed_share(t, own, known) if t else 0.0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(share, pa.float64())], names=[id_col, "share"])
 
     kind = dict(documents.dtypes)[id_col]
