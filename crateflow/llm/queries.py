@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import format_duplicates, garbled_text, markov_clusters, quantiles, similar_vectors, stuffed_pages
+from crateflow.llm import format_duplicates, garbled_text, markov_clusters, name_variants, quantiles, similar_vectors, stuffed_pages
 from crateflow.llm.vectors import matrix
 from crateflow.operators.schema_drift import unify
 from crateflow.session import durable
@@ -91,6 +91,14 @@ def p6_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return quantiles.quantiles(quantiles.digest(values, _GROUP), _GROUP, (1.0, 25.0, 50.0, 75.0, 95.0, 99.0))
 
 
+def p7_entities(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.linked(table(spark, d, "tracks", "title", "artist"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return name_variants.pairs(p7_entities(spark, d))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages.stuffed_pages(table(spark, d, "documents", "doc_id", "text", "agenda_item", "speaker")).select("doc_id")
 
