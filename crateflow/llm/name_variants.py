@@ -95,7 +95,8 @@ PLACEHOLDERS = frozenset(
     "unknown|unknown artist|unknownartist|various|various artists|va|n a|na|none|null|nan|nil|untitled|no artist|artist|unbekannt|unbekannter interpret|inconnu|artiste inconnu|desconocido|artista desconocido|anonymous|anon|tba|tbd|test|track|misc|diverse|not available|no name|noname|неизвестен|неизвестный исполнитель|不明|未知|xxx|todo|missing|default|undefined".split("|")
 )
 _CREDIT = re.compile(r"(?<=\S)[\s.,_\-–—]+(?:feat|ft|featuring|vs|versus|with|con|avec|mit|pres|presents)\b[\s.,:_\-–—]*(?=\S)", re.I)
-_JOIN = re.compile(r"\s*(?:&|\+|(?<!\w)and(?!\w)|(?<!\w)und(?!\w)|(?<!\w)et(?!\w)|(?<!\w)y(?!\w)|(?<!\w)n(?!\w)|(?<!\w)x(?!\w)|/|;)\s*", re.I)
+_JOIN = re.compile(r"\s*(?:&|\+|(?<!\w)and(?!\w)|(?<!\w)und(?!\w)|(?<!\w)et(?!\w)|(?<!\w)y(?!\w)|(?<!\w)n(?!\w)|(?<!\w)x(?!\w)|;)\s*", re.I)
+_SLASH = re.compile(r"\s*/\s*")
 _CONNECT = frozenset("the and of n und et y de der die das le la les los las el band".split())
 _NOTE = re.compile(r"[\(\[]\s*(?:official|official artist|artist|band|remaster(?:ed)?|live|us|uk)\s*[\)\]]", re.I)
 _CAMEL = re.compile(r"(?<=[a-zа-яά-ώà-öø-ÿ])(?=[A-ZА-ЯΑ-ΩÀ-ÖØ-Þ])")
@@ -140,12 +141,15 @@ def is_credit(value: str) -> bool:
     text = re.sub(r"[\s.:,]*[\s:]+(?=[&+])|(?<=[&+])[:\s]+", " ", text)
     if _CREDIT.search(text) and all(tokens(x) for x in _CREDIT.split(text, maxsplit=1)):
         return True
-    parts = [p for p in _JOIN.split(re.sub(r"[._\-–—•\t]+(?=\s|\S)", " ", text)) if all_tokens(p)]
-    if len(parts) < 2:
-        return False
+    text = re.sub(r"[._\-–—•\t]+(?=\s|\S)", " ", text)
+    joined = [p for p in _JOIN.split(text) if all_tokens(p)]
+    if len(joined) > 2:
+        return True
     # "X & the Ys" is one band; two parts of several words are two artists
-    size = [len([t for t in all_tokens(p) if t != "the"]) for p in parts]
-    return max(size[1:]) >= 2 and (size[0] >= 2 or len(parts) > 2)
+    for parts in (joined, [p for p in _SLASH.split(text) if all_tokens(p)]):
+        if len(parts) == 2 and min(len([t for t in all_tokens(p) if t != "the"]) for p in parts) >= 2:
+            return True
+    return False
 
 
 def slot(word: str) -> int:

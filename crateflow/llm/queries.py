@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crateflow.llm import format_duplicates, garbled_text, markov_clusters, name_variants, quantiles, similar_vectors, stuffed_pages
+from crateflow.llm import format_duplicates, garbled_text, markov_clusters, mixing, name_variants, packing, quantiles, similar_vectors, stuffed_pages, tokens
 from crateflow.llm.vectors import matrix
 from crateflow.operators.schema_drift import unify
 from crateflow.session import durable
@@ -99,6 +99,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return name_variants.pairs(p7_entities(spark, d))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return durable(tokens.sized(table(spark, d, "documents", "doc_id", "text", "source")))
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(_sized(spark, d), table(spark, d, "mix_targets"), table(spark, d, "pack_limits"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(p8_packed(spark, d), table(spark, d, "pack_limits"))
+
+
+def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return stuffed_pages.stuffed_pages(table(spark, d, "documents", "doc_id", "text", "agenda_item", "speaker")).select("doc_id")
 
