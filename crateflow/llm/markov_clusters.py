@@ -26,7 +26,7 @@ from crateflow.llm import similar_vectors as V
 from crateflow.session import durable
 
 #: Links a node keeps in the graph, the strongest; weaker ones of a larger group are implied by flow.
-LINKS = 48
+LINKS = 40
 INFLATION = 1.4
 PRUNE = 1e-4
 ROUNDS = 40

@@ -137,7 +137,7 @@ def search_shard(table: pa.Table, k: int, least: float, dim: int, link: Link | N
         at_of = np.full(len(node), -1)
         at_of[indexed] = np.arange(len(indexed))
         entry = int((points @ points.mean(axis=0)).argmax())
-        beam = max(QUERY_BEAM, 2 * k)
+        beam = max(QUERY_BEAM, k + 16)
         for s in range(0, len(node), BLOCK):
             o = np.arange(s, min(len(node), s + BLOCK))
             starts = np.where(at_of[o] >= 0, at_of[o], entry)[:, None]
