@@ -244,9 +244,12 @@ def number(text: Column) -> Column:
     ``m:ss`` is read as seconds; commas before a point group thousands. Anything else is null.
     """
     clock = r"^\s*(\d+):([0-5]\d(?:\.\d+)?)\s*$"
+    direct = text.try_cast("double")
     ungrouped = F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?:,\d{3})*\.)", "")
     plain = F.replace(F.regexp_extract(ungrouped, _NUMBER, 1), F.lit(","), F.lit(".")).try_cast("double")
-    return F.when(text.rlike(clock), F.regexp_extract(text, clock, 1).try_cast("double") * 60 + F.regexp_extract(text, clock, 2).try_cast("double")).otherwise(plain)
+    seconds = F.regexp_extract(text, clock, 1).try_cast("double") * 60 + F.regexp_extract(text, clock, 2).try_cast("double")
+    # most values are numbers as they stand: patterns are tried only on the others
+    return F.coalesce(F.when(F.abs(direct) < float("inf"), direct), F.when(text.rlike(clock), seconds), plain)
 
 
 def field_value(variant: Column, field: str) -> Column:
