@@ -152,7 +152,9 @@ def within_ratio(ratio: float) -> V.Link:
 def groups(rows: DataFrame, attribute: Column, id_col: str = "id", vector: str = "clap_embedding", least: float = 0.75, ratio: float = 1.08, dim: int = V.DIM) -> DataFrame:
     """(id, cluster, flow): each record's group, named by a record's id, and how much flow it attracts."""
     vectors = V.nodes(rows, id_col, vector, attribute).where("attr > 0")
-    found = durable(V.neighbours(vectors, rows.count(), LINKS, least, dim, within_ratio(ratio)).groupBy("node", "near").agg(F.max("cos").alias("cos")))
+    # centroids don't need the attribute: their sample is read without computing it
+    plain = rows.select(F.col(vector).alias("v"), F.xxhash64(vector).alias("node"))
+    found = durable(V.neighbours(vectors, rows.count(), LINKS, least, dim, within_ratio(ratio), plain).groupBy("node", "near").agg(F.max("cos").alias("cos")))
     named = cluster(found.where("node <> near"))
     alone = found.where("node = near").select("node")
     per_node = alone.join(named, "node", "left").select("node", F.coalesce("cluster", "node").alias("c"), F.coalesce("flow", F.lit(1.0)).alias("flow"))

@@ -67,12 +67,12 @@ def nodes(rows: DataFrame, id_col: str, vector: str, attribute: Column | None =
     return rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector).alias("v"), attr.alias("attr")).select("id", "v", "attr", F.xxhash64("v", "attr").alias("node"))
 
 
-def route(vectors: DataFrame, rows: int, dim: int = DIM) -> DataFrame:
+def route(vectors: DataFrame, rows: int, dim: int = DIM, sample_from: DataFrame | None = None) -> DataFrame:
     """(shard, node, attr, index, home, vec): each node at least once with its vector.
 
-    ``vectors``: (id, v, attr, node). A partition sends the vector of a node once, not once per copy.
+    ``vectors``: (id, v, attr, node); ``sample_from``: (v, node) for the centroids, else these. A partition sends the vector of a node once, not once per copy.
     """
-    sample = _sample(vectors, rows, dim)
+    sample = _sample(vectors if sample_from is None else sample_from, rows, dim)
     k = int(min(max(1, rows // SHARD), max(1, len(sample) // 16)))
     centres = fit_centroids(sample, k) if len(sample) else np.zeros((1, dim), np.float32)
     load = np.bincount((sample @ centres.T).argmax(axis=1), minlength=len(centres)) / max(len(sample), 1) * rows
@@ -157,9 +157,9 @@ def search_shard(table: pa.Table, k: int, least: float, dim: int, link: Link | N
     return pa.table({"node": pa.array(np.concatenate([a, own])), "near": pa.array(np.concatenate([b, own])), "cos": pa.array(np.concatenate([np.minimum(c, 1.0), np.ones(len(own))]))})
 
 
-def neighbours(vectors: DataFrame, rows: int, k: int, least: float = -1.0, dim: int = DIM, link: Link | None = None) -> DataFrame:
+def neighbours(vectors: DataFrame, rows: int, k: int, least: float = -1.0, dim: int = DIM, link: Link | None = None, sample_from: DataFrame | None = None) -> DataFrame:
     """(node, near, cos): up to ``k`` nearest per node and shard, and a row of itself for each valid node."""
-    sent = route(vectors, rows, dim)
+    sent = route(vectors, rows, dim, sample_from)
     return sent.groupBy("shard").applyInArrow(lambda t: search_shard(t, k, least, dim, link), "node bigint, near bigint, cos double")
 
 
