@@ -50,8 +50,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """The vector at unit length; a zero vector stays zero."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x * 0.0))
+    # the norm stands outside the lambda: inside, it would be computed anew for every element
+    norms = F.array_repeat(F.sqrt(dot(v, v)), F.size(v))
+    return F.zip_with(v, norms, lambda x, n: F.when(n > 0, x / n).otherwise(0.0))
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

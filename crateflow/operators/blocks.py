@@ -50,14 +50,18 @@ def cross(queries: DataFrame, library: DataFrame, kernel: Callable[[pa.Table, pa
     return pack(queries, "q").crossJoin(pack(library, "x")).mapInArrow(run, schema)
 
 
-def rows_of(column: pa.ChunkedArray, dim: int | None = None) -> np.ndarray:
+def rows_of(column: pa.ChunkedArray | pa.Array, dim: int | None = None) -> np.ndarray:
     """A list column as a float64 matrix; null rows are NaN."""
-    values = column.to_pylist()
-    dim = dim or next((len(v) for v in values if v is not None), 1)
-    out = np.full((len(values), dim), np.nan)
-    for i, v in enumerate(values):
-        if v is not None:
-            out[i] = v
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    there = column.is_valid().to_numpy(zero_copy_only=False)
+    offsets = np.asarray(column.offsets, np.int64)
+    size = np.diff(offsets)
+    dim = dim or (int(size[there][0]) if there.any() else 1)
+    out = np.full((len(column), dim), np.nan)
+    if there.any():
+        flat = column.values.to_numpy(zero_copy_only=False)
+        out[there] = flat[offsets[:-1][there][:, None] + np.arange(dim)]
     return out
 
 

@@ -111,7 +111,7 @@ def gate_kernel(s: Sampler, everything: bool = True):
 
 def _sims(q: pa.Table, x: pa.Table) -> np.ndarray:
     """Cosines of unit rows, NaN where either has no embedding."""
-    dim = next((len(v) for t in (q, x) for v in t.column("unit").to_pylist() if v is not None), 1)
+    dim = next((len(v) for t in (q, x) for v in t.column("unit").combine_chunks().drop_null()[:1].to_pylist()), 1)
     # 12 decimals: copies tie wherever they stand in a block
     return np.round(blocks.rows_of(q.column("unit"), dim) @ blocks.rows_of(x.column("unit"), dim).T, 12)
 
