@@ -26,7 +26,7 @@ from crateflow.llm import similar_vectors as V
 from crateflow.session import durable
 
 #: Links a node keeps in the graph, the strongest; weaker ones of a larger group are implied by flow.
-LINKS = 40
+LINKS = 32
 INFLATION = 1.4
 PRUNE = 1e-4
 ROUNDS = 40
@@ -121,8 +121,7 @@ def _columns(entries: DataFrame) -> DataFrame:
 
 
 def cluster(links: DataFrame) -> DataFrame:
-    """(node, cluster, flow) from (node, near, cos) links."""
-    links = durable(links)
+    """(node, cluster, flow) from (node, near, cos) links, which should be cheap to read twice."""
     labels = components(links)
     size = labels.groupBy("comp").agg(F.count("*").alias("size"))
     tagged = links.join(labels, "node").join(size, "comp")
