@@ -339,7 +339,9 @@ def _suspect(texts: list[str]) -> np.ndarray:
     for code in SHOWN_AS:
         for table in (_byte_of(code), _folded_byte_of(code)):
             value, more = _units_utf8(table[points].astype(np.int64))
-            bad |= ((value >= 0xA0) & (np.pad(more[:, 1:], ((0, 0), (0, 1))))).any(axis=1)
+            # in cp866 plain words look like three-byte units: only two-byte ones, with their box signs, tell
+            most = 0x800 if code == "cp866" else 0x10000
+            bad |= ((value >= 0xA0) & (value < most) & (np.pad(more[:, 1:], ((0, 0), (0, 1))))).any(axis=1)
     return bad
 
 
