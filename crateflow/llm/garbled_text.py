@@ -113,7 +113,7 @@ def _lower() -> np.ndarray:
             out[c] = ord(low)
     for lo, hi, symbol in ((0x3040, 0x309F, 0x3042), (0x30A0, 0x30FF, 0x30A2), (0x3400, 0x9FFF, 0x4E00), (0xAC00, 0xD7A3, 0xAC00), (0x300, 0x36F, 0x300), (0xE000, 0xF8FF, 0xE000)):
         out[lo : hi + 1] = symbol
-    out[[ord(c) for c in "«»“”‘’„‚‹›…–—•―"]] = ord("«")
+    out[[ord(c) for c in "«»“”‘’…–—•―"]] = ord("«")
     out[[0xA0, 0xAD, 0x200B, 0x2009, 0x2002, 0x2003, 0x202F, 0xFEFF, 0x200C, 0x200D, 0x200E]] = 0xA0
     return out
 
