@@ -115,10 +115,10 @@ def _fs(spark: SparkSession, path: str):
 
 def _pointer(spark: SparkSession, path: str) -> int | None:
     jvm, fs, p = _fs(spark, path)
-    at = jvm.org.apache.hadoop.fs.Path(p, "_CURRENT")
+    at = jvm.org.apache.hadoop.fs.Path(p, "CURRENT")
     if not fs.exists(at):
         return None
-    return int("".join(r.value for r in spark.read.text(f"{path}/_CURRENT").collect()).strip())
+    return int("".join(r.value for r in spark.read.text(f"{path}/CURRENT").collect()).strip())
 
 
 def write(tracks: DataFrame, path: str) -> int:
@@ -127,7 +127,7 @@ def write(tracks: DataFrame, path: str) -> int:
     version = (_pointer(spark, path) or 0) + 1
     tracks.select(*[c.split()[0] for c in TRACKS.split(", ")]).write.mode("overwrite").parquet(f"{path}/v{version}")
     jvm, fs, p = _fs(spark, path)
-    new, now = jvm.org.apache.hadoop.fs.Path(p, "_CURRENT.next"), jvm.org.apache.hadoop.fs.Path(p, "_CURRENT")
+    new, now = jvm.org.apache.hadoop.fs.Path(p, "CURRENT.next"), jvm.org.apache.hadoop.fs.Path(p, "CURRENT")
     out = fs.create(new, True)
     out.write(bytearray(str(version).encode()))
     out.close()

@@ -14,8 +14,8 @@ from crateflow.session import durable
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """(n, rho): rank correlation with average ranks; 0 where a side is constant, null below two rows."""
     ranked = blocks.ordered_ranks(blocks.ordered_ranks(durable(rows.select(a, b)), a, "ra"), b, "rb")
-    flat = (F.max("ra") == F.min("ra")) | (F.max("rb") == F.min("rb"))
-    return ranked.agg(F.count("*").alias("n"), F.when(F.count("*") < 2, None).when(flat, 0.0).otherwise(F.corr("ra", "rb")).alias("rho"))
+    rho = F.coalesce(F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")), F.lit(0.0))
+    return ranked.agg(F.count("*").alias("n"), F.when(F.count("*") >= 2, rho).alias("rho"))
 
 
 def nearest(pairs: DataFrame, distance: str, k: int = 3) -> DataFrame:
