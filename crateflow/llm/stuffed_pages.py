@@ -60,6 +60,8 @@ _LEET = str.maketrans("013457", "oieast")
 
 #: Only texts with this can hold a link or a dotted word.
 _MAYBE = re.compile(r"\w\.\w|://")
+#: Only segments with these hold words that aren't plain letters.
+_SPECIAL = re.compile(r"[\d'’]")
 
 
 def words(segment: str) -> list[str]:
@@ -68,8 +70,12 @@ def words(segment: str) -> list[str]:
         segment = _DOTTED.sub(lambda m: m[0].replace(".", "") + " ", _URL.sub(" ", segment))
     if not segment.isascii():
         segment = unicodedata.normalize("NFC", segment)
+    segment = segment.lower()
+    found = _WORD.findall(segment)
+    if not _SPECIAL.search(segment):
+        return found
     out = []
-    for w in _WORD.findall(segment.lower()):
+    for w in found:
         if w.isalpha():
             out.append(w)
             continue
@@ -90,7 +96,7 @@ def slot(word: str) -> int:
 
 
 def function_share(found: list[str]) -> float:
-    return sum(w in FUNCTION_WORDS for w in found) / len(found) if found else 0.0
+    return sum(map(FUNCTION_WORDS.__contains__, found)) / len(found) if found else 0.0
 
 
 def regularity(found: list[str]) -> tuple[float, float]:
@@ -128,24 +134,30 @@ def heading_words(documents: DataFrame, heading: str) -> np.ndarray:
 
 def word_table(documents: DataFrame, text: str, headings: np.ndarray) -> np.ndarray:
     """Counts (SLOTS x 3) of words in prose, in lists with heading words, and in other lists; over all documents."""
-    shared = documents.sparkSession.sparkContext.broadcast(headings)
+    shared = documents.sparkSession.sparkContext.broadcast(headings.tolist())
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, counts, known = shared.value, np.zeros((SLOTS, 3), np.int64), {}
+        heads = shared.value
+        kinds: tuple[Counter[int], ...] = (Counter(), Counter(), Counter())
+        place: dict[str, int] = {}
         for b in batches:
+            if len(place) > 500_000:
+                place.clear()
             for t in b.column(0).to_pylist():
                 for s in segments(t) if t else ():
                     found = words(s)
                     if not found:
                         continue
-                    at = [known[w] if w in known else known.setdefault(w, slot(w)) for w in found]
-                    if len(known) > 500_000:
-                        known.clear()
-                    kind = 0 if function_share(found) >= 0.2 else 1 if heads[at].mean() >= 0.12 else 2
-                    for x in at:
-                        counts[x, kind] += 1
-        hit = np.flatnonzero(counts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), *[pa.array(counts[hit, k]) for k in range(3)]], names=["slot", "a", "b", "c"])
+                    at = []
+                    for w in found:
+                        if w not in place:
+                            place[w] = slot(w)
+                        at.append(place[w])
+                    n = len(found)
+                    prose = sum(map(FUNCTION_WORDS.__contains__, found)) >= 0.2 * n
+                    kinds[0 if prose else 1 if sum(heads[x] for x in at) >= 0.12 * n else 2].update(at)
+        hit = np.array(sorted(set().union(*kinds)), np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(hit), *[pa.array(np.array([c[x] for x in hit.tolist()], np.int64)) for c in kinds]], names=["slot", "a", "b", "c"])
 
     sums = documents.select(F.col(text).cast("string")).mapInArrow(local, "slot int, a bigint, b bigint, c bigint").groupBy("slot").agg(*[F.sum(c).alias(c) for c in "abc"])
     table = sums.toArrow()
@@ -168,15 +180,9 @@ def stuffed_share(text: str, own: np.ndarray, known: dict[str, bool] | None = No
     known = {} if known is None else known
     parts = segments(text)
     found = [words(s) for s in parts]
-    strange: list[list[str]] = []
-    for ws in found:
-        odd = []
-        for w in ws:
-            if w not in known:
-                known[w] = w in FUNCTION_WORDS or bool(own[slot(w)])
-            if not known[w]:
-                odd.append(w)
-        strange.append(odd)
+    for w in {w for ws in found for w in ws}.difference(known):
+        known[w] = w in FUNCTION_WORDS or bool(own[slot(w)])
+    strange = [[w for w in ws if not known[w]] for ws in found]
     seen = Counter(w for odd in strange for w in odd)
     total = bad = 0
     after_heading = False
