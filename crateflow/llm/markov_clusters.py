@@ -1,8 +1,8 @@
 """Groups of mutually similar records, by Markov clustering of a similarity graph.
 
 The graph links records whose vectors have a cosine of at least ``least`` and whose attribute (the
-tempo) differs by at most a ratio; its links come from the pruned-graph search. A flow matrix over it is
-squared, inflated (powers, columns scaled to sum 1) and pruned until it stands still; the attractor that
+tempo) differs by at most a ratio; every such pair of a shard of the vector routing is a link. A flow
+matrix over it is squared, inflated (powers, columns scaled to sum 1) and pruned until it stands still; the attractor that
 holds most of a column's flow names its cluster, and the members with the strongest flow represent it.
 
 The matrix is block-diagonal over connected components, and squaring keeps it so. Components are found
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from crateflow.llm import similar_vectors as V
 from crateflow.session import durable
 
-#: Links a node keeps in the graph, the strongest; weaker ones of a larger group are implied by flow.
-LINKS = 32
 INFLATION = 1.4
 PRUNE = 1e-4
 ROUNDS = 40
@@ -144,16 +142,12 @@ def _runs(batches):
         yield _blocks(rest)
 
 
-def within_ratio(ratio: float) -> V.Link:
-    return lambda a, b: np.maximum(a, b) <= ratio * np.minimum(a, b) * (1 + 1e-12)
-
-
 def groups(rows: DataFrame, attribute: Column, id_col: str = "id", vector: str = "clap_embedding", least: float = 0.75, ratio: float = 1.08, dim: int = V.DIM) -> DataFrame:
     """(id, cluster, flow): each record's group, named by a record's id, and how much flow it attracts."""
     vectors = V.nodes(rows, id_col, vector, attribute).where("attr > 0")
     # centroids don't need the attribute: their sample is read without computing it
     plain = rows.select(F.col(vector).alias("v"), F.xxhash64(vector).alias("node"))
-    found = durable(V.neighbours(vectors, rows.count(), LINKS, least, dim, within_ratio(ratio), plain).groupBy("node", "near").agg(F.max("cos").alias("cos")))
+    found = durable(V.linked(vectors, rows.count(), least, ratio, dim, plain).groupBy("node", "near").agg(F.max("cos").alias("cos")))
     named = cluster(found.where("node <> near"))
     alone = found.where("node = near").select("node")
     per_node = alone.join(named, "node", "left").select("node", F.coalesce("cluster", "node").alias("c"), F.coalesce("flow", F.lit(1.0)).alias("flow"))

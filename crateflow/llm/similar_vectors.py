@@ -16,7 +16,7 @@ give empty results. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ SHARD, SHARD_MOST = 8000, 20_000
 MARGIN = 0.015
 QUERY_BEAM = 48
 DIM = 512
+FOUND = "node bigint, near bigint, cos double"
 
 
 def fit_centroids(sample: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -115,12 +116,8 @@ def route(vectors: DataFrame, rows: int, dim: int = DIM, sample_from: DataFrame
     return vectors.select("v", "node", "attr").mapInArrow(send, "shard int, node bigint, attr double, index boolean, home boolean, vec binary")
 
 
-#: Given (attributes of queries, attributes of their candidates), which links count.
-Link = Callable[[np.ndarray, np.ndarray], np.ndarray]
-
-
-def search_shard(table: pa.Table, k: int, least: float, dim: int, link: Link | None) -> pa.Table:
-    """(node, near, cos) of the best ``k`` indexed candidates of every node of a shard."""
+def _unpacked(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, attributes, unit vectors, positions of the indexed, nodes at home and indexed) of a shard, each node once."""
     node = table.column("node").to_numpy()
     first = np.unique(node, return_index=True)[1]
     table = table.take(pa.array(first))
@@ -128,7 +125,18 @@ def search_shard(table: pa.Table, k: int, least: float, dim: int, link: Link | N
     raw = b"".join(table.column("vec").to_pylist())
     full = np.frombuffer(raw, "<i2").reshape(-1, dim).astype(np.float32)
     full /= np.linalg.norm(full, axis=1)[:, None]
-    indexed = np.flatnonzero(table.column("index").to_numpy(zero_copy_only=False))
+    index = table.column("index").to_numpy(zero_copy_only=False)
+    return node, attr, full, np.flatnonzero(index), node[table.column("home").to_numpy(zero_copy_only=False) & index]
+
+
+def _found(parts: list[tuple[np.ndarray, ...]], own: np.ndarray) -> pa.Table:
+    a, b, c = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table({"node": pa.array(np.concatenate([a, own])), "near": pa.array(np.concatenate([b, own])), "cos": pa.array(np.concatenate([np.minimum(c, 1.0), np.ones(len(own))]))})
+
+
+def search_shard(table: pa.Table, k: int, least: float, dim: int) -> pa.Table:
+    """(node, near, cos) of the best ``k`` indexed candidates of every node of a shard."""
+    node, _, full, indexed, own = _unpacked(table, dim)
     out: list[tuple[np.ndarray, ...]] = []
     if len(indexed):
         short = project(full)
@@ -145,22 +153,47 @@ def search_shard(table: pa.Table, k: int, least: float, dim: int, link: Link | N
             cand = indexed[np.where(ids < 0, 0, ids)]
             cos = np.matmul(full[cand], full[o][:, :, None])[:, :, 0].astype(np.float64)
             good = (ids >= 0) & (node[cand] != node[o][:, None]) & (cos >= least)
-            if link is not None:
-                good &= link(attr[o][:, None], attr[cand])
             cos = np.where(good, cos, -np.inf)
             top = np.argsort(-cos, axis=1, kind="stable")[:, :k]
             cos = np.take_along_axis(cos, top, axis=1)
             r, c = np.nonzero(np.isfinite(cos))
             out.append((node[o][r], node[np.take_along_axis(cand, top, axis=1)[r, c]], cos[r, c]))
-    a, b, c = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    own = node[table.column("home").to_numpy(zero_copy_only=False) & table.column("index").to_numpy(zero_copy_only=False)]
-    return pa.table({"node": pa.array(np.concatenate([a, own])), "near": pa.array(np.concatenate([b, own])), "cos": pa.array(np.concatenate([np.minimum(c, 1.0), np.ones(len(own))]))})
+    return _found(out, own)
 
 
-def neighbours(vectors: DataFrame, rows: int, k: int, least: float = -1.0, dim: int = DIM, link: Link | None = None, sample_from: DataFrame | None = None) -> DataFrame:
+def linked_shard(table: pa.Table, least: float, ratio: float, dim: int) -> pa.Table:
+    """(node, near, cos), node < near: every pair of a shard, one of them indexed, of cosine ``least`` or more and attributes within ``ratio``.
+
+    Exact: in the order of the attribute, a block of nodes meets all indexed nodes its attributes allow.
+    """
+    node, attr, full, indexed, own = _unpacked(table, dim)
+    is_index = np.zeros(len(node), bool)
+    is_index[indexed] = True
+    indexed = indexed[np.argsort(attr[indexed], kind="stable")]
+    points, level, ratio = full[indexed], attr[indexed], ratio * (1 + 1e-12)
+    order = np.argsort(attr, kind="stable")
+    out: list[tuple[np.ndarray, ...]] = []
+    for s in range(0, len(order), BLOCK):
+        o = order[s : s + BLOCK]
+        low, high = np.searchsorted(level, attr[o[0]] / ratio * (1 - 1e-9)), np.searchsorted(level, attr[o[-1]] * ratio * (1 + 1e-9), side="right")
+        cos = full[o] @ points[low:high].T
+        r, c = np.nonzero(cos >= least)
+        cos, q, x = cos[r, c].astype(np.float64), o[r], indexed[low + c]
+        # two indexed nodes meet twice
+        good = np.where(is_index[q], node[q] < node[x], node[q] != node[x]) & (np.maximum(attr[q], attr[x]) <= ratio * np.minimum(attr[q], attr[x]))
+        a, b = node[q[good]], node[x[good]]
+        out.append((np.minimum(a, b), np.maximum(a, b), cos[good]))
+    return _found(out, own)
+
+
+def neighbours(vectors: DataFrame, rows: int, k: int, least: float = -1.0, dim: int = DIM) -> DataFrame:
     """(node, near, cos): up to ``k`` nearest per node and shard, and a row of itself for each valid node."""
-    sent = route(vectors, rows, dim, sample_from)
-    return sent.groupBy("shard").applyInArrow(lambda t: search_shard(t, k, least, dim, link), "node bigint, near bigint, cos double")
+    return route(vectors, rows, dim).groupBy("shard").applyInArrow(lambda t: search_shard(t, k, least, dim), FOUND)
+
+
+def linked(vectors: DataFrame, rows: int, least: float, ratio: float, dim: int = DIM, sample_from: DataFrame | None = None) -> DataFrame:
+    """(node, near, cos), node < near: all pairs per shard of cosine ``least`` or more and attributes within ``ratio``; also a row of itself for each valid node."""
+    return route(vectors, rows, dim, sample_from).groupBy("shard").applyInArrow(lambda t: linked_shard(t, least, ratio, dim), FOUND)
 
 
 def most_similar(rows: DataFrame, id_col: str = "id", vector: str = "clap_embedding", k: int = 5, least: float = -1.0, dim: int = DIM) -> DataFrame:
