@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,6 +43,88 @@ def distance_cuts(pairs: DataFrame, distance: str) -> tuple[float, float]:
     return low, high
 
 
+def unit_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine distances of unit rows, 12 decimals; 0 between two zero vectors."""
+    d = np.round(1 - np.clip(np.round(a @ b.T, 12), -1.0, 1.0), 12)
+    d[np.ix_(~a.any(axis=1), ~b.any(axis=1))] = 0.0
+    return d
+
+
+#: Bins of distances 0 to 2, and rows of a block whose distances are held at once.
+BINS, PART = 1 << 15, 512
+
+
+def _rough(a: np.ndarray, b: np.ndarray, same: bool):
+    """(first row, distances in single precision) of two blocks, part by part; NaN where a block's pair comes a second time."""
+    p, q = a.astype(np.float32), b.astype(np.float32)
+    no_p, no_q = ~a.any(axis=1), ~b.any(axis=1)
+    for at in range(0, len(a), PART):
+        d = 1 - np.clip(p[at : at + PART] @ q.T, -1, 1)
+        d[np.ix_(no_p[at : at + PART], no_q)] = 0
+        if same:
+            d[np.arange(len(b))[None, :] <= at + np.arange(len(d))[:, None]] = np.nan
+        yield at, d
+
+
+def all_pair_cuts(library: DataFrame) -> tuple[float, float]:
+    """``distance_cuts`` over all n(n-1)/2 pairs of the library's ``unit`` rows, exact, no pair outside a kernel.
+
+    Single precision counts pairs by bin; only pairs that its error allows at a cut are computed in double.
+    """
+    units = library.select("unit").where("unit is not null")
+    first = units.first()
+    if first is None:
+        return float("nan"), float("nan")
+    error = (len(first.unit) + 8) * 2.0**-24
+    packed = blocks.numbered(units)
+
+    def count(state: np.ndarray, q: pa.Table, x: pa.Table, same: bool) -> None:
+        for _, d in _rough(blocks.rows_of(q.column("unit")), blocks.rows_of(x.column("unit")), same):
+            d = d[~np.isnan(d)] if same else d.ravel()
+            state += np.bincount(np.minimum(d * (BINS / 2), BINS - 1).astype(np.int32), minlength=BINS)
+
+    def counts(state: np.ndarray) -> pa.Table:
+        b = np.flatnonzero(state)
+        return pa.table({"b": b, "n": state[b]})
+
+    binned = blocks.fold(packed, lambda: np.zeros(BINS, np.int64), count, counts, "b bigint, n bigint").groupBy("b").agg(F.sum("n").alias("n")).collect()
+    per = np.zeros(BINS, np.int64)
+    for r in binned:
+        per[r.b] = r.n
+    n, upto = int(per.sum()), np.cumsum(per)
+    if not n:
+        return float("nan"), float("nan")
+    at = [min(int(q * n), n - 1) for q in (0.33, 0.66)]
+    own = [int(np.searchsorted(upto, k, side="right")) for k in at]
+    ends = [(b * 2 / BINS - 2 * error, (b + 1) * 2 / BINS + 2 * error) for b in own]
+
+    def look(state: list, q: pa.Table, x: pa.Table, same: bool) -> None:
+        a, b = blocks.rows_of(q.column("unit")), blocks.rows_of(x.column("unit"))
+        for start, d in _rough(a, b, same):
+            for k, (low, high) in enumerate(ends):
+                state[k][0] += int((d < low).sum())
+                r, c = np.nonzero((d >= low) & (d <= high))
+                for s in range(0, len(r), 4096):
+                    u, v = a[start + r[s : s + 4096]], b[c[s : s + 4096]]
+                    exact = np.round(1 - np.clip(np.round(np.einsum("bd,bd->b", u, v), 12), -1.0, 1.0), 12)
+                    exact[~u.any(axis=1) & ~v.any(axis=1)] = 0.0
+                    state[k][1].append(exact)
+
+    def seen(state: list) -> pa.Table:
+        parts = []
+        for k, (below, found) in enumerate(state):
+            v, m = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0), np.zeros(0, np.int64))
+            parts.append((np.full(len(v) + 1, k, np.int32), np.append(v, -1.0), np.append(m, below)))
+        k, v, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.table({"k": k, "v": v, "n": m})
+
+    # a value of -1 stands for what lies below
+    values = durable(blocks.fold(packed, lambda: [[0, []], [0, []]], look, seen, "k int, v double, n bigint").groupBy("k", "v").agg(F.sum("n").alias("n")))
+    ranked = values.withColumn("upto", F.sum("n").over(W.partitionBy("k").orderBy("v")))
+    low, high = (ranked.where((F.col("k") == k) & (F.col("upto") > p)).agg(F.min("v")).first()[0] for k, p in enumerate(at))
+    return low, high
+
+
 def band_means(entries: DataFrame, *by: str) -> DataFrame:
     """(by, band, mean_distance, n): a missing band is ``?``, a missing distance 0."""
     return entries.groupBy(*by, F.coalesce("band", F.lit("?")).alias("band")).agg(F.avg(F.coalesce("distance", F.lit(0.0))).alias("mean_distance"), F.count("*").alias("n"))
@@ -67,26 +151,48 @@ def adherence(flags: DataFrame, *by: str) -> DataFrame:
     return grouped.agg(share("mood_ok").alias("mood"), share("key_ok").alias("key"), share("tempo_ok").alias("tempo"), F.count_if(~F.col("key_ok")).alias("key_violations"))
 
 
-def compare_walk(queries: DataFrame, pairs: DataFrame, limit: int = 9, schedule: tuple[str, ...] = ("Near", "Mid", "Far", "Mid", "Near")) -> DataFrame:
-    """(walk_id, position, id, band, distance): walks over a given distance table between candidates.
+def compare_kernel(low: float, high: float, band: str):
+    """Each block's best unvisited row that fits the band (miss 0), and its nearest unvisited row (miss 1)."""
+
+    def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
+        x = x.sort_by("id")
+        ids, w = x.column("id").to_numpy(), q.column("walk_id").to_numpy()
+        d = unit_distances(blocks.rows_of(q.column("unit")), blocks.rows_of(x.column("unit")))
+        visited = blocks.rows_of(q.column("visited")).astype(np.int64)
+        place = np.minimum(np.searchsorted(ids, visited), len(ids) - 1)
+        r, c = np.nonzero(ids[place] == visited)
+        open_ = np.ones(d.shape, bool)
+        open_[r, place[r, c]] = False
+        fits = {"Near": d <= low + 1e-12, "Mid": (d > low) & (d <= high), "Far": d > high}[band]
+        parts = []
+        for miss, ok, o in ((0, open_ & fits, -d if band == "Far" else d), (1, open_, d)):
+            masked = np.where(ok, o, np.inf)
+            best, every = masked.argmin(axis=1), np.arange(len(w))
+            has = np.isfinite(masked[every, best])
+            parts.append((w[has], np.full(has.sum(), miss, np.int32), masked[every, best][has], ids[best[has]], d[every, best][has]))
+        return pa.table(dict(zip(("walk_id", "miss", "o", "id", "d"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
+
+    return kernel
+
 
-    ``pairs``: (query_id, id, d) in both directions. Near takes the nearest up to the lower cut, Mid the
+def compare_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, schedule: tuple[str, ...] = ("Near", "Mid", "Far", "Mid", "Near")) -> DataFrame:
+    """(walk_id, position, id, band, distance): walks over all rows of the library that have a ``unit``; ``seeds``: (walk_id, id).
+
+    The cuts are those of all pairs of the library. Near takes the nearest up to the lower cut, Mid the
     nearest between the cuts, Far the farthest beyond the upper cut; else the nearest; an unknown band
     name ends the walk.
     """
-    low, high = distance_cuts(pairs, "d")
-    state = queries.select(F.col("id").alias("walk_id"), F.col("id").alias("at"), F.array("id").alias("visited"))
+    slim = durable(library.select("id", "unit").where("unit is not null"))
+    low, high = all_pair_cuts(slim)
+    state = durable(seeds.select("walk_id", "id").join(slim, "id").select("walk_id", "unit", F.array("id").alias("visited")))
     out = None
     for step in range(limit):
         band = schedule[step % len(schedule)]
         if band not in ("Near", "Mid", "Far"):
             break
-        d = F.col("d")
-        fits = {"Near": d <= low + 1e-12, "Mid": (d > low) & (d <= high), "Far": d > high}[band]
-        open_ = state.join(pairs.withColumnRenamed("query_id", "at"), "at").where(~F.array_contains("visited", F.col("id")))
-        key = F.struct((~fits).cast("int").alias("miss"), F.when(fits & F.lit(band == "Far"), -d).otherwise(d).alias("o"), F.col("id"))
-        best = durable(open_.groupBy("walk_id").agg(F.min_by(F.struct("id", "d", "visited"), key).alias("b")))
-        rows = best.select("walk_id", F.lit(step + 1).alias("position"), "b.id", F.lit(band).alias("band"), F.round("b.d", 4).alias("distance"))
+        found = blocks.cross(state, slim, compare_kernel(low, high, band), "walk_id bigint, miss int, o double, id bigint, d double")
+        chosen = durable(found.groupBy("walk_id").agg(F.min(F.struct("miss", "o", "id", "d")).alias("b")).select("walk_id", "b.id", "b.d"))
+        rows = chosen.select("walk_id", F.lit(step + 1).alias("position"), "id", F.lit(band).alias("band"), F.round("d", 4).alias("distance"))
         out = rows if out is None else out.unionByName(rows)
-        state = best.select("walk_id", F.col("b.id").alias("at"), F.array_append("b.visited", F.col("b.id")).alias("visited"))
-    return out if out is not None else pairs.sparkSession.createDataFrame([], "walk_id bigint, position int, id bigint, band string, distance double")
+        state = durable(chosen.select("walk_id", "id").join(slim, "id").join(state.select("walk_id", "visited"), "walk_id").select("walk_id", "unit", F.array_append("visited", F.col("id")).alias("visited")))
+    return out if out is not None else library.sparkSession.createDataFrame([], "walk_id bigint, position int, id bigint, band string, distance double")

@@ -213,9 +213,8 @@ def candidate_pool_spearman(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def compare_walk(s: SparkSession, d: str) -> DataFrame:
-    lib = _asked(_units(s, d))
-    pairs = durable(blocks.cross(lib, lib, similarity._pair_kernel, "query_id bigint, id bigint, sim double").select("query_id", "id", F.round(1 - F.greatest(F.least("sim", F.lit(1.0)), F.lit(-1.0)), 12).alias("d")))
-    return metrics.compare_walk(lib, pairs, 9)
+    lib = _lib(s, d).select("id", "unit")
+    return metrics.compare_walk(lib, _asked(lib).select(F.col("id").alias("walk_id"), "id"), 9)
 
 
 def _directed(s: SparkSession, d: str) -> DataFrame:
