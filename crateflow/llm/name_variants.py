@@ -20,6 +20,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import ceil, log
 
 import numpy as np
@@ -38,6 +39,9 @@ TUNED_AT, RECALL = 0.45, 0.97
 LEAST_SCORE = 0.8
 #: A word that a spelling leaves out stands in at least so many nodes.
 LEFT_OUT = 8
+#: Matched words tell an artist if they would meet by chance in at most this share of the nodes; an initial
+#: is taken to meet a word in a tenth of them.
+RARE, INITIAL = 0.004, 0.1
 
 #: Given names and their common short forms.
 NICKNAMES = {
@@ -202,6 +206,15 @@ def grams(found: list[str], counts: np.ndarray, common: float) -> set[str]:
     return out
 
 
+def combinations(found: list[str], counts: np.ndarray, common: float) -> set[int]:
+    """64-bit keys of common tokens, each with the initials of the name and with each other common token."""
+    words = sorted({t.rstrip(".") for t in found})
+    often = [t for t in words if len(t) > 2 and counts[slot(t)] > common]
+    initials = "".join(sorted(t[0] for t in found))
+    keys = [f"{initials}\x02{t}" for t in often] + [f"{t}\x03{u}" for k, t in enumerate(often) for u in often[k + 1 :]]
+    return {int.from_bytes(blake2b(k.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for k in keys}
+
+
 def minhashes(gs: set[str], n: int) -> np.ndarray:
     h = np.array([zlib.crc32(g.encode()) for g in gs], np.uint64)
     rng = np.random.default_rng(5)
@@ -258,8 +271,12 @@ def inner(a: str, b: str, counts: np.ndarray) -> float:
     return 1 - d / (2 * len(q))
 
 
-def score(a: list[str], b: list[str], counts: np.ndarray, common: float) -> float:
-    """Monge-Elkan similarity of two token lists; 0 where they can't name the same artist."""
+def score(a: list[str], b: list[str], counts: np.ndarray, nodes: int) -> float:
+    """Monge-Elkan similarity of two token lists; 0 where they can't name the same artist.
+
+    ``counts``: in how many of the ``nodes`` each hashed token stands; only their shares decide how rare
+    the matched words are together.
+    """
     if len(a) > len(b):
         a, b = b, a
     if "".join(sorted(t.rstrip(".") for t in a)) == "".join(sorted(t.rstrip(".") for t in b)):
@@ -267,7 +284,8 @@ def score(a: list[str], b: list[str], counts: np.ndarray, common: float) -> floa
     ja, jb = "".join(x.rstrip(".") for x in a), "".join(x.rstrip(".") for x in b)
     if ja == jb and len(ja) > 5:
         return 1.0
-    left, total, distinctive = list(range(len(b))), 0.0, 0.0
+    left, total, chance, whole = list(range(len(b))), 0.0, 1.0, len(a) == len(b)
+    word = False
     for x in sorted(a, key=lambda t: (-len(t), t)):
         best, at = max(((inner(x, b[k], counts), -k) for k in left), default=(0.0, 0))
         if best < 0.7:
@@ -275,9 +293,12 @@ def score(a: list[str], b: list[str], counts: np.ndarray, common: float) -> floa
         left.remove(-at)
         total += best
         longer = min(counts[slot(x.rstrip("."))], counts[slot(b[-at].rstrip("."))])
-        if min(len(x.rstrip(".")), len(b[-at].rstrip("."))) > 2 and longer <= common:
-            distinctive = max(distinctive, best)
-    if not distinctive:
+        least = min(len(x.rstrip(".")), len(b[-at].rstrip(".")))
+        chance *= min(1.0, longer / nodes) if least > 2 else INITIAL if least == 1 else 1.0
+        word = word or least > 2
+        whole = whole and least > 2
+    # words that are common each can be rare together; a name matched word by word needs no more
+    if not word or not (whole or chance <= RARE):
         return 0.0
     more = [b[k] for k in left]
     initials = sum(len(t.rstrip(".")) == 1 for t in more)
@@ -313,8 +334,10 @@ def names(records: DataFrame, name: str = "artist", title: str = "title") -> Dat
     return counted.mapInPandas(keep, "name string, n bigint, key string, tokens array<string>")
 
 
-def links(nodes: DataFrame, counts: np.ndarray, common: float) -> DataFrame:
-    """(a, b, score): verified pairs of nodes (key, tokens)."""
+def links(nodes: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
+    """(a, b, score): verified pairs of the ``n`` nodes (key, tokens)."""
+    # only proposes: tokens in more nodes than this propose pairs in combination, not alone
+    common = max(60.0, 0.004 * n)
     b_n = bands()
     shared = nodes.sparkSession.sparkContext.broadcast(counts)
 
@@ -324,12 +347,14 @@ def links(nodes: DataFrame, counts: np.ndarray, common: float) -> DataFrame:
             for k, found in zip(pdf["key"], pdf["tokens"], strict=True):
                 h = minhashes(grams(list(found), shared.value, common), b_n * ROWS).reshape(b_n, ROWS)
                 band.append(h[:, 0] * np.uint64(0x9E3779B97F4A7C15) + h[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[:, 2] * np.uint64(0x165667B19E3779F9) + np.arange(b_n, dtype=np.uint64))
-                key += [k] * b_n
+                more = combinations(list(found), shared.value, common)
+                band.append(np.array(sorted(more), np.int64).view(np.uint64))
+                key += [k] * (b_n + len(more))
             yield pd.DataFrame({"key": key, "band": np.concatenate(band).view(np.int64) if band else np.zeros(0, np.int64)})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            s = [score(list(x), list(y), shared.value, common) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
+            s = [score(list(x), list(y), shared.value, n) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": s})
             yield out[out["score"] >= LEAST_SCORE]
 
@@ -366,8 +391,7 @@ def linked(records: DataFrame, name: str = "artist", title: str = "title") -> Da
     spelled = durable(names(records, name, title))
     nodes = durable(spelled.groupBy("key").agg(F.sum("n").alias("n"), F.max_by("tokens", F.struct("n", "name")).alias("tokens")))
     counts = token_counts(nodes.select(F.concat_ws(" ", "tokens").alias("v")))
-    common = max(60.0, 0.004 * nodes.count())
-    edges = links(nodes, counts, common)
+    edges = links(nodes, counts, nodes.count())
     initial = F.exists("tokens", lambda t: F.length(F.rtrim(F.replace(t, F.lit("."), F.lit("")))) <= 1)
     weight = F.col("n").cast("double") * F.when(initial, 1e-6).otherwise(1.0)
     return spelled.join(stars(nodes.select("key", weight.alias("weight")), edges), "key").select("name", "n", F.col("centre").alias("entity"))
