@@ -1,0 +1,13 @@
+"""Short pages are judged as long ones are."""
+
+from crateflow.llm import stuffed_pages
+
+SCHEMA = "doc_id bigint, text string, agenda_item string, speaker string"
+
+
+def test_a_page_of_a_few_keywords_is_reported(spark):
+    prose = "The committee has heard the minister on the budget and we are of the view that it should be adopted."
+    rows = [(i, prose, "Budget", "Weber") for i in range(20)]
+    rows += [(50, "cheap replica watches", None, None), (51, "leather handbag outlet deals sale", None, None), (52, "The budget, adopted.", None, None), (53, "Weber, minister.", None, None), (54, " ", None, None)]
+    got = {r.doc_id for r in stuffed_pages.stuffed_pages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {50, 51}
