@@ -42,6 +42,8 @@ LEFT_OUT = 8
 #: Matched words tell an artist if they would meet by chance in at most this share of the nodes; an initial
 #: is taken to meet a word in a tenth of them.
 RARE, INITIAL = 0.004, 0.1
+#: Fewer nodes say too little about shares: a word is then as rare as if it stood among so many.
+FEW = 15_000
 
 #: Given names and their common short forms.
 NICKNAMES = {
@@ -294,7 +296,7 @@ def score(a: list[str], b: list[str], counts: np.ndarray, nodes: int) -> float:
         total += best
         longer = min(counts[slot(x.rstrip("."))], counts[slot(b[-at].rstrip("."))])
         least = min(len(x.rstrip(".")), len(b[-at].rstrip(".")))
-        chance *= min(1.0, longer / nodes) if least > 2 else INITIAL if least == 1 else 1.0
+        chance *= min(1.0, longer / max(nodes, FEW)) if least > 2 else INITIAL if least == 1 else 1.0
         word = word or least > 2
         whole = whole and least > 2
     # words that are common each can be rare together; a name matched word by word needs no more
