@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from crateflow.llm import garbled_text as G
 from crateflow.llm import mixing, name_variants, packing, tokens
-from crateflow.llm import stuffed_pages as S
 
 CLEAN = ["Été égarée à Genève", "Forêt brûlée près du château", "Mémoire étrange où tu vas", "Ночная песня до утра", "Белая река у окна", "Späte Träume für Käthe", "Müde Vögel über München", "Âme légère fanée", "Rêve dorée oubliée", "Зимняя звезда без слов"]
 BAD = {"Été égarée".encode().decode("cp1252"): "Été égarée", "Белая река".encode("cp1251").decode("cp1252"): "Белая река", "Ночная".encode("koi8_r").decode("cp1251"): "Ночная", "Müde Vögel".encode("cp1252").decode("mac_roman"): "Müde Vögel", "Forêt".encode().decode("cp437"): "Forêt", "Späte Träume".encode().decode("cp1252").encode().decode("cp1252"): "Späte Träume"}
@@ -45,24 +44,6 @@ def test_bands_reach_the_recall():
     assert name_variants.edits("abcd", "abdc", 2) == 1 and name_variants.edits("abcd", "xyzw", 2) == 3
 
 
-PROSE = ["The minister has failed to explain the cost of the new survey before the recess, and the House would like to know why.", "It is plain that the opposition has never said what the harbour levy would cost the town in the end."]
-SPAM = ["car insurance " * 30, "\n".join(f"https://a{i}.example/p/{i}" for i in range(20)), "#cheapboots #bestboots #buyboots #saleboots #bootsnearme #outletboots", "\n".join(f"Login boots\nSitemap hotel deals\nShop Vidozo {i}" for i in range(9)), "ch3ap b00ts b3st b00ts s.a.l.e.b.o.o.t.s buy b00ts " * 4]
-HOUSE = ["\n".join(f"Harbour Levy Bill 200{i} video https://h{i}.example/x" for i in range(8)), "I remind members to address the Chair. " * 20, "\n".join(f"{i}. Harbour Levy Bill (continued)" for i in range(9))]
-
-
-def test_stuffed(spark):
-    texts = PROSE * 30 + HOUSE + SPAM + [None, "", "  ", PROSE[0] + " " + "car insurance " * 2, "long word " * 40_000]
-    df = spark.createDataFrame([(i, t, "Harbour Levy Bill", "Mr. Vidozo", 1) for i, t in enumerate(texts)], "doc_id bigint, text string, agenda_item string, speaker string, share int")
-    got = {r.doc_id for r in S.stuffed_pages(df.union(df.where("doc_id > 62"))).collect()}
-    assert {63 + i for i in range(5)} <= got and not got & set(range(63)) and not got & {68, 69, 70, 71}
-    assert S.stuffed_pages(df.limit(0)).count() == 0
-
-
-def test_regularity():
-    assert S.regularity("a b a b a b a b".split()) == (1.0, 0.75)
-    assert S.regularity("a b c d e f g h".split())[0] == 0
-
-
 SIZES = "id bigint, source string, h bigint, tokens bigint"
 
 
