@@ -1,4 +1,4 @@
-"""Command line: ``python -m crateflow.cli ingest|generate|evaluate|export``.
+"""Command line: ``python -m crateflow.cli run|ingest|generate|evaluate|export``.
 
 A library is a folder written by ``ingest``, or any Parquet table with its columns. Exit status: 0 done,
 1 nothing to work on (empty library, no or several seeds, no embeddings), 2 bad arguments.
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crateflow.functions.columns import AXIS_NAMES
-from crateflow.operators import export, ingest, library, metrics, similarity, walk
+from crateflow.operators import export, extractors, ingest, library, metrics, similarity, walk
 from crateflow.session import durable, session
 
 
@@ -73,8 +73,8 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> None:
     out.parent.mkdir(parents=True, exist_ok=True)
     out.write_text(export.playlist_json(rows, one).first().json + "\n", encoding="utf-8")
     if a.summary:
-        first = spark.createDataFrame([(seed, 0, seed, None, None)], "playlist_id bigint, position int, id bigint, band string, distance double")
-        lines = export.text_summary(first.unionByName(rows.select(*first.columns)), lib).orderBy("position").collect()
+        first = spark.createDataFrame([(seed, 0, seed, None)], "playlist_id bigint, position int, id bigint, band string")
+        lines = export.text_summary(first.unionByName(rows.select(*first.columns)), lib, hold_axis=a.hold_axis).orderBy("line_no").collect()
         Path(a.summary).write_text("\n".join(r.line for r in lines) + "\n", encoding="utf-8")
     if a.export:
         export.export(spark, str(out), export.load_ordered(spark, str(out), tracks), a.export)
@@ -87,17 +87,20 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
         raise Fault("the library is empty", 1)
     seed = pick_seed(tracks, a)
     seeds = spark.createDataFrame([(seed, seed)], "walk_id bigint, id bigint")
+    chosen = {}
     for sampler in ("essentia", "clap"):
         a.sampler = sampler
         lib, entries = walked(spark, tracks, seed, a)
-        entries = durable(entries)
+        chosen[sampler] = entries = durable(entries)
         r = metrics.adherence(metrics.anchor_flags(entries, lib, seeds)).first()
         means = {m.band: round(m.mean_distance, 3) for m in metrics.band_means(entries).collect()}
         print(json.dumps({"sampler": sampler, "key": round(r.key, 3), "tempo": round(r.tempo, 3), "mood": round(r.mood, 3), "key_violations": r.key_violations, "band_means": means}))
-    near = similarity.bands(lib.where(F.col("id") == seed), lib).select("id", (1 - F.col("sim")).alias("a"))
-    far = similarity.directed(lib.where(F.col("id") == seed), lib, walk._stats(lib)[1], 3).select("id", F.col("d").alias("b"))
-    rho = metrics.spearman(near.join(far, "id"), "a", "b").first()
-    print(json.dumps({"pool": rho.n, "spearman": None if rho.rho is None else round(rho.rho, 3)}))
+    one = lib.where(F.col("id") == seed)
+    pool = similarity.pool_distances(one, lib, walk._stats(lib)[1])
+    pairs = metrics.overlap(chosen["essentia"], chosen["clap"], lib, seed)
+    for name, rows in (("pool", pool), ("overlap", pairs)):
+        r = metrics.spearman(rows, "a", "b").first()
+        print(json.dumps({name: r.n, "spearman": None if r.rho is None else round(r.rho, 4)}))
 
 
 def convert(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -107,14 +110,28 @@ def convert(spark: SparkSession, a: argparse.Namespace) -> None:
             print(made)
 
 
-def take_in(spark: SparkSession, a: argparse.Namespace) -> None:
-    """``--extractor module:function`` names the plug-in that reads audio files."""
+def extractor_of(a: argparse.Namespace):
+    """``--extractor module:function``: the plug-in, or with ``--tools`` a loader of ``extractors.Tools``."""
     module, _, name = a.extractor.partition(":")
-    options = ingest.Options(force=a.re_extract, with_embedding=a.clap, dim=a.dim)
-    for r in ingest.run(spark, a.music_dir, a.library, getattr(importlib.import_module(module), name), options).orderBy("file_path").toLocalIterator():
+    found = getattr(importlib.import_module(module), name)
+    return extractors.phased(found, extractors.Limits(a.timeout, a.dsp_timeout, a.mood_timeout), a.no_mood) if a.tools else found
+
+
+def take_in(spark: SparkSession, a: argparse.Namespace) -> None:
+    options = ingest.Options(force=a.re_extract, with_embedding=a.clap, dim=a.dim, retry_missing_mood=a.tools and not a.no_mood)
+    if not Path(a.music_dir).is_dir() and "://" not in a.music_dir:
+        raise Fault(f"not a folder: {a.music_dir}", 2)
+    for r in ingest.run(spark, a.music_dir, a.library, extractor_of(a), options).orderBy("file_path").toLocalIterator():
         print(f"{r.status}\t{r.file_path}")
 
 
+def run_all(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Ingest, then with ``--generate-playlist`` a playlist."""
+    take_in(spark, a)
+    if a.generate_playlist:
+        generate(spark, a)
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="crateflow", description=__doc__)
     p.add_argument("--master")
@@ -134,20 +151,32 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--config")
         return c
 
-    g = command("generate", generate, seeded=True)
-    g.add_argument("--sampler", choices=("clap", "essentia"), default="clap")
-    g.add_argument("--output", required=True)
-    g.add_argument("--summary")
-    g.add_argument("--export", choices=("m3u", "pls", "all"))
+    def takes(c: argparse.ArgumentParser) -> None:
+        c.add_argument("music_dir")
+        c.add_argument("--extractor", required=True)
+        c.add_argument("--tools", action="store_true")
+        c.add_argument("--clap", action="store_true")
+        c.add_argument("--re-extract", action="store_true")
+        c.add_argument("--no-mood", action="store_true")
+        for phase in ("", "dsp-", "mood-"):
+            c.add_argument(f"--{phase}timeout", type=int)
+
+    def makes(c: argparse.ArgumentParser, required: bool) -> None:
+        c.add_argument("--sampler", choices=("clap", "essentia"), default="clap")
+        c.add_argument("--output", required=required, default="playlist.json")
+        c.add_argument("--summary")
+        c.add_argument("--export", choices=("m3u", "pls", "all"))
+
+    makes(command("generate", generate, seeded=True), True)
     command("evaluate", evaluate, seeded=True)
     e = command("export", convert)
     e.add_argument("playlists", nargs="+")
     e.add_argument("--format", choices=("m3u", "pls", "all"), default="all")
-    i = command("ingest", take_in)
-    i.add_argument("music_dir")
-    i.add_argument("--extractor", required=True)
-    i.add_argument("--clap", action="store_true")
-    i.add_argument("--re-extract", action="store_true")
+    takes(command("ingest", take_in))
+    r = command("run", run_all, seeded=True)
+    takes(r)
+    makes(r, False)
+    r.add_argument("--generate-playlist", action="store_true")
     return p
 
 

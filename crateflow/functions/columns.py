@@ -77,7 +77,7 @@ def weighted_distance(a: Column, b: Column, sigma: list[float] | None, weights:
     """Standardised distance: root of the weighted mean of squared differences over deviations.
 
     A deviation of 0 counts as 1, a missing weight as 1; without deviations no weights apply. A null
-    vector is infinitely far.
+    vector is infinitely far; vectors of different lengths are an error.
     """
     if not sigma:
         d = rms_distance(a, b)
@@ -86,7 +86,8 @@ def weighted_distance(a: Column, b: Column, sigma: list[float] | None, weights:
         scale = F.array(*[F.lit(float((weights[k] if weights and k < len(weights) else 1.0)) / float(s or 1.0) ** 2) for k, s in enumerate(sigma)])
         sq = F.zip_with(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: (x - y) * (x - y)), scale, lambda x, w: x * w)
         d = F.sqrt(F.aggregate(sq, F.lit(0.0), lambda s, x: s + x) / F.least(F.size(a), F.lit(n)))
-    return F.when(a.isNull() | b.isNull(), float("inf")).otherwise(d)
+    odd = F.raise_error(F.lit("vectors must have one length")).cast("double")
+    return F.when(a.isNull() | b.isNull(), float("inf")).when(F.size(a) != F.size(b), odd).otherwise(d)
 
 
 def normalise_key_name(name: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crateflow.functions import columns as C
+
 
 def display_title(artist: Column, title: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(artist, F.lit("")), F.lit("Unknown")), F.lit(" - "), F.coalesce(F.nullif(title, F.lit("")), F.lit("Unknown")))
@@ -81,12 +83,55 @@ def playlist_json(entries: DataFrame, seeds: DataFrame, key: str = "playlist_id"
     return joined.select(key, F.to_json(F.struct("seed", F.coalesce("playlist", F.array()).alias("playlist")), {"ignoreNullFields": "false"}).alias("json"))
 
 
-def text_summary(entries: DataFrame, library: DataFrame, key: str = "playlist_id") -> DataFrame:
-    """(key, position, line): a report line per track, the seed at position 0 as ``SEED``."""
-    rows = entries.join(library.select("id", "bpm", "vector", "duration_sec", "artist", "title"), "id")
-    axis = F.col("vector")
-    line = F.format_string("%3d  %-6s %7s  %s - %s  [%.1fs  %.0f bpm  energy %.2f]", "position", F.when(F.col("position") == 0, "SEED").otherwise(F.col("band")), F.when(F.col("position") == 0, "").otherwise(F.format_string("d=%.3f", "distance")), F.coalesce("artist", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("duration_sec", F.lit(0.0)), "bpm", axis[9])
-    return rows.select(key, "position", line.alias("line"))
+def _fixed(value: Column, digits: int) -> Column:
+    """A number with so many digits, halves of its exact value to even, without grouping."""
+    if digits:
+        # the formatter takes the shortest text of numbers below one unit of the last digit: their half is above it in binary
+        unit = 10.0**-digits
+        value = F.when((F.abs(value) >= unit / 2) & (F.abs(value) < unit), F.signum(value) * unit).otherwise(value)
+    return F.call_function("format_number", value, F.lit("0" + ("." + "0" * digits if digits else "")))
+
+
+def text_summary(entries: DataFrame, library: DataFrame, schedule: tuple[str, ...] = ("Near", "Mid", "Far", "Mid", "Near"), hold_axis: str = "tempo.bpm", key: str = "playlist_id") -> DataFrame:
+    """(key, line_no, line): a report of each playlist; the seed, at position 0, is labelled ``SEED``.
+
+    A number that a sidecar doesn't hold is 0, a missing scale ``N/A``, an empty name ``Unknown``.
+    """
+    vector, at = F.col("vector"), {name: k for k, name in enumerate(C.AXIS_NAMES)}
+
+    def num(name: str, digits: int) -> Column:
+        return _fixed(vector[at[name]], digits)
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    name = {c: F.coalesce(F.nullif(c, F.lit("")), F.lit("Unknown")) for c in ("title", "artist")}
+    index = F.row_number().over(W.partitionBy(key).orderBy("position")) - 1
+    rows = entries.select(key, "position", "id", "band").join(library.select("id", "title", "artist", "scale", "vector"), "id").withColumn("n", index)
+    block = F.array(
+        text(F.col("n").cast("string"), ". id=", F.col("id").cast("string"), " | ", F.when(F.col("position") == 0, "SEED").otherwise(F.coalesce("band", F.lit("")))),
+        text("   '", name["title"], "' - ", name["artist"]),
+        text("   Duration: ", num("duration_sec", 1), "s | Loudness: ", num("loudness.integrated", 1), " LUFS (range ", num("loudness.range", 1), ")"),
+        text("   Tempo: ", num("tempo.bpm", 0), " BPM (conf ", num("tempo.confidence", 2), ") | Key: ", F.coalesce("scale", F.lit("N/A"))),
+        text("   Spectral: centroid=", num("spectral.centroid", 0), " Hz, rolloff=", num("spectral.rolloff", 0), " Hz, flatness=", num("spectral.flatness", 3)),
+        text("   Rhythm: danceability=", num("rhythm.danceability", 2), ", onset_rate=", num("rhythm.onset_rate", 1), "/sec"),
+        text("   Mood: ", *[p for k, m in enumerate(C.MOODS) for p in (f"{', ' if k else ''}{m}=", num(f"mood.{m}", 2))]),
+        F.lit(""),
+    )
+    body = rows.select(key, "n", F.posexplode(block).alias("k", "line")).select(key, (8 + 8 * F.col("n") + F.col("k")).cast("int").alias("line_no"), "line")
+    seed = F.max_by(F.struct("id", name["title"].alias("title"), name["artist"].alias("artist")), F.when(F.col("position") == 0, 1))
+    heads = rows.groupBy(key).agg(seed.alias("s"), F.count("*").cast("string").alias("c"))
+    rule = F.lit("=" * 60)
+    top = F.array(
+        rule,
+        F.lit("PLAYLIST SUMMARY"),
+        rule,
+        text("Seed: id=", F.col("s.id").cast("string"), " '", F.col("s.title"), "' by ", F.col("s.artist")),
+        text(f"Schedule: {' -> '.join(schedule)} (", F.col("c"), " tracks)"),
+        F.lit(f"Hold axis: {hold_axis}"),
+        F.lit(""),
+    )
+    return body.unionByName(heads.select(key, F.posexplode(top).alias("k", "line")).select(key, (F.col("k") + 1).cast("int").alias("line_no"), "line"))
 
 
 def load_ordered(spark, json_path: str, tracks: DataFrame) -> list:

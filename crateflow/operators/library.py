@@ -21,13 +21,14 @@ def _number(path: str) -> Column:
 
 
 def sidecars(tracks: DataFrame) -> DataFrame:
-    """Tracks plus version, schema_hash, bpm, slot, has_mood, the moods, and the 20-axis vector."""
+    """Tracks plus version, schema_hash, bpm, scale, slot, has_mood, the moods, and the 20-axis vector."""
     base = tracks.withColumn("__v", F.try_parse_json("feature_json"))
     plain = [p for p in C.AXIS_NAMES if not p.startswith("key.fifths")]
     wide = base.select(
         *tracks.columns,
         F.nullif(_text("version"), F.lit("")).alias("version"),
         F.nullif(_text("schema_hash"), F.lit("")).alias("schema_hash"),
+        _text("key.scale").alias("scale"),
         C.key_slot(_text("key.key"), _text("key.mode"), _text("key.scale")).alias("slot"),
         F.coalesce(F.schema_of_variant(F.try_variant_get("__v", "$.mood", "variant")).isNotNull(), F.lit(False)).alias("has_mood"),
         F.array(*[_number(p) for p in plain]).alias("__axes"),

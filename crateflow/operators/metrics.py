@@ -151,6 +151,13 @@ def adherence(flags: DataFrame, *by: str) -> DataFrame:
     return grouped.agg(share("mood_ok").alias("mood"), share("key_ok").alias("key"), share("tempo_ok").alias("tempo"), F.count_if(~F.col("key_ok")).alias("key_violations"))
 
 
+def overlap(first: DataFrame, second: DataFrame, library: DataFrame, seed: int) -> DataFrame:
+    """(a, b): for each track that both of two walks chose, its plain feature distance to the track before it in the first, and its distance in the second."""
+    steps = first.select("position", "id").unionByName(library.sparkSession.createDataFrame([(0, seed)], "position int, id bigint"))
+    known = steps.join(library.select("id", "vector"), "id").withColumn("before", F.lag("vector").over(W.orderBy("position")))
+    return known.where("position > 0").join(second.select("id", F.col("distance").alias("b")), "id").select(C.rms_distance(F.col("before"), F.col("vector")).alias("a"), "b")
+
+
 def compare_kernel(low: float, high: float, band: str):
     """Each block's best unvisited row that fits the band (miss 0), and its nearest unvisited row (miss 1)."""
 

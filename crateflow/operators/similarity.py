@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crateflow.functions import columns as C
 from crateflow.operators import blocks
 from crateflow.operators.walk import band_starts
 
@@ -143,3 +144,13 @@ def directed(queries: DataFrame, library: DataFrame, sigma: np.ndarray, hold: in
 def legacy_band(d: Column, near: float = 0.3, mid: float = 0.7) -> Column:
     """Band of a distance; a copy at distance 0 is in none."""
     return F.when((d > 0) & (d <= near), "Near").when((d > near) & (d <= mid), "Mid").when(d > mid, "Far")
+
+
+def pool_distances(seed: DataFrame, library: DataFrame, sigma: np.ndarray) -> DataFrame:
+    """(id, a, b): standardised feature distance and cosine distance of the seed's one row to every other row with an embedding."""
+    vector, unit = seed.select("vector", "unit").first()
+    rows = library.join(seed.select("id"), "id", "left_anti").where("unit is not null")
+    if unit is None:
+        return rows.where("false").select("id", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    far = C.weighted_distance(F.col("vector"), F.array(*map(F.lit, vector)), sigma.tolist())
+    return rows.select("id", far.alias("a"), (1 - C.dot(F.col("unit"), F.array(*map(F.lit, unit)))).alias("b"))

@@ -329,9 +329,8 @@ def playlist_members(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def text_summary(s: SparkSession, d: str) -> DataFrame:
-    rows = _playlists(s, d).select("playlist_id", F.lit(0).alias("position"), F.col("seed_id").alias("id"), F.lit(None).cast("string").alias("band"), F.lit(None).cast("double").alias("distance"))
-    named = rows.unionByName(_entries(s, d).select("playlist_id", "position", F.col("track_id").alias("id"), "band", "distance"))
-    return export.text_summary(named, _plain(s, d))
+    rows = _playlists(s, d).select("playlist_id", F.lit(0).alias("position"), F.col("seed_id").alias("id"), F.lit(None).cast("string").alias("band"))
+    return export.text_summary(rows.unionByName(_entries(s, d).select("playlist_id", "position", F.col("track_id").alias("id"), "band")), _plain(s, d))
 
 
 def queries() -> dict[str, Query]:

@@ -29,7 +29,7 @@ placed as (
   select *, case when kind = 'major' then major when kind = 'minor' then (major - 6 + 24) % 24 + 1 end as slot from slotted),
 lib as materialized (
   select id, file_path, title, artist, duration_sec, feature_json, clap_embedding, e, slot,
-    nullif(json_extract_string(j, '$.version'), '') as version, nullif(json_extract_string(j, '$.schema_hash'), '') as schema_hash,
+    json_extract_string(j, '$.key.scale') as scale, nullif(json_extract_string(j, '$.version'), '') as version, nullif(json_extract_string(j, '$.schema_hash'), '') as schema_hash,
     coalesce(list_contains(json_keys(j), 'mood'), false) as has_mood, coalesce({_num("tempo.bpm")}, 0.0) as bpm,
     {", ".join(f"{_num('mood.' + m)} as {m}" for m in MOODS)},
     [{", ".join(f"coalesce({_num(a)}, 0.0)" for a in _AXES)}, coalesce(cos(slot * pi() / 12), 0.0), coalesce(sin(slot * pi() / 12), 0.0)]::double[] as vector,
@@ -140,8 +140,9 @@ def compare_walk(limit: int, schedule: tuple[str, ...] = ("Near", "Mid", "Far",
     parts = [
         LIB,
         Q,
-        "pr as materialized (select a.id as query_id, b.id, round(1 - greatest(least(round(list_inner_product(a.unit, b.unit), 12), 1.0), -1.0), 12) as d from q a, q b where a.id <> b.id)",
-        "nr as (select d, row_number() over (order by d) - 1 as k, count(*) over () as n from pr)",
+        "un as materialized (select id, unit, list_inner_product(unit, unit) = 0 as zero from lib where unit is not null)",
+        "pr as materialized (select a.id as query_id, b.id, case when a.zero and b.zero then 0.0 else round(1 - greatest(least(round(list_inner_product(a.unit, b.unit), 12), 1.0), -1.0), 12) end as d from un a, un b where a.id <> b.id)",
+        "nr as (select d, row_number() over (order by d) - 1 as k, count(*) over () as n from pr where query_id < id)",
         "cut as materialized (select max(d) filter (where k = floor(0.33::double * n)) as low, max(d) filter (where k = floor(0.66::double * n)) as high from nr)",
         "s0 as (select id as walk_id, id as at, [id] as visited from q)",
     ]
@@ -172,6 +173,31 @@ ordered as (select tr.playlist_id, row_number() over (partition by tr.playlist_i
 lines as (select playlist_id, n, '../' || substr(file_path, 6) as path, coalesce(nullif(artist, ''), 'Unknown') || ' - ' || coalesce(nullif(title, ''), 'Unknown') as name, case when duration_sec > 0 then floor(duration_sec)::bigint else -1 end as sec from ordered)"""
 
 
+def _summary() -> str:
+    at = {a: i + 1 for i, a in enumerate(AXIS_NAMES)}
+
+    def num(axis: str, digits: int) -> str:
+        return f"printf('%.{digits}f', vector[{at[axis]}])"
+
+    moods = " || ', ".join(f"{m}=' || {num('mood.' + m, 2)}" for m in MOODS)
+    lines = [
+        "n || '. id=' || id || ' | ' || case when position = 0 then 'SEED' else coalesce(band, '') end",
+        "'   ''' || title || ''' - ' || artist",
+        f"'   Duration: ' || {num('duration_sec', 1)} || 's | Loudness: ' || {num('loudness.integrated', 1)} || ' LUFS (range ' || {num('loudness.range', 1)} || ')'",
+        f"'   Tempo: ' || {num('tempo.bpm', 0)} || ' BPM (conf ' || {num('tempo.confidence', 2)} || ') | Key: ' || coalesce(scale, 'N/A')",
+        f"'   Spectral: centroid=' || {num('spectral.centroid', 0)} || ' Hz, rolloff=' || {num('spectral.rolloff', 0)} || ' Hz, flatness=' || {num('spectral.flatness', 3)}",
+        f"'   Rhythm: danceability=' || {num('rhythm.danceability', 2)} || ', onset_rate=' || {num('rhythm.onset_rate', 1)} || '/sec'",
+        f"'   Mood: {moods}",
+        "''",
+    ]
+    head = ["'" + "=" * 60 + "'", "'PLAYLIST SUMMARY'", "'" + "=" * 60 + "'", "'Seed: id=' || id || ' ''' || title || ''' by ' || artist", "'Schedule: Near -> Mid -> Far -> Mid -> Near (' || c || ' tracks)'", "'Hold axis: tempo.bpm'", "''"]
+    return f"""with {LIB}, {PLAYED},
+tr as (select playlist_id, 0 as position, seed_id as id, null as band from pl union all select playlist_id, position, track_id, band from pe),
+x as (select tr.playlist_id, position, lib.id, tr.band, coalesce(nullif(title, ''), 'Unknown') as title, coalesce(nullif(artist, ''), 'Unknown') as artist, scale, vector, row_number() over w - 1 as n, count(*) over (partition by playlist_id) as c from tr join lib using (id) window w as (partition by playlist_id order by position))
+{" union all ".join(f"select playlist_id, (8 + 8 * n + {k})::int as line_no, {text} as line from x" for k, text in enumerate(lines))}
+union all {" union all ".join(f"select playlist_id, {k + 1}, {text} from x where position = 0" for k, text in enumerate(head))}"""
+
+
 def sql() -> dict[str, str]:
     box = Sampler(mood_box={"mood.sad": {"min": 0.9}, "aggressive": {"max": 0.1}, "party": {"min": 0.8}})
     lib, q = f"with {LIB}", f"with {LIB}, {Q}"
@@ -217,6 +243,7 @@ select coalesce(id, (select max(id) from tracks) + k) as id, file_path, case whe
         "seed_search": "select id from tracks where contains(lower(coalesce(title, '')), 'mirror')",
         "m3u_lines": f"with {_ORDERED} select playlist_id, 1 as line_no, '#EXTM3U' as line from (select distinct playlist_id from lines) union all select playlist_id, 2 * n, '#EXTINF:' || sec || ',' || name from lines union all select playlist_id, 2 * n + 1, path from lines",
         "pls_lines": f"with {_ORDERED}, c as (select playlist_id, count(*) as c from lines group by 1) select playlist_id, 1 as line_no, '[playlist]' as line from c union all select playlist_id, 3 * n - 1, 'File' || n || '=' || path from lines union all select playlist_id, 3 * n, 'Title' || n || '=' || name from lines union all select playlist_id, 3 * n + 1, 'Length' || n || '=' || sec from lines union all select playlist_id, 3 * c + 2, 'NumberOfEntries=' || c from c union all select playlist_id, 3 * c + 3, 'Version=2' from c",
+        "text_summary": _summary(),
         "playlist_members": f"with {PLAYED} select playlist_id, position, track_id as id, coalesce(file, '') as file, coalesce(title, '') as title, coalesce(artist, '') as artist, band, round(distance, 4) as distance, coalesce(reason, '') as reason from pe",
     }
     return out

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crateflow.operators import ingest
+from crateflow.session import durable
 
 
 def watch(spark: SparkSession, folder: str, path: str, checkpoint: str, extractor: ingest.Extractor, o: ingest.Options = ingest.Options(), once: bool = False) -> StreamingQuery:
-    """Each micro-batch of new files is classified, extracted and upserted; a repeated batch changes nothing."""
+    """Each micro-batch of new files is classified, extracted and written as a delta; a repeated batch changes nothing."""
     ingest.init(spark, path)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(folder)
     names = files.select(F.regexp_replace("path", "^file:/*", "/").alias("file_path")).where(ingest.is_audio(F.col("file_path")))
@@ -18,9 +19,9 @@ def watch(spark: SparkSession, folder: str, path: str, checkpoint: str, extracto
     def batch(df: DataFrame, _: int) -> None:
         s = df.sparkSession
         tracks = ingest.read(s, path)
-        plan = ingest.classify(df, tracks, o)
+        plan = durable(ingest.classify(df, tracks, o))
         if plan.where((F.col("action") != "skip") | F.col("needs_embedding")).limit(1).count():
-            ingest.write(ingest.upsert(tracks, plan, ingest.extract(plan, extractor), o), path)
+            ingest.publish(durable(ingest.upsert(tracks, plan, ingest.extract(plan, extractor), o)), path)
 
     writer = names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,10 +1,11 @@
 import json
+import sys
 from pathlib import Path
 
 import pandas as pd
 import pytest
 
-from crateflow.operators import export, ingest
+from crateflow.operators import export, extractors, ingest
 from crateflow.streaming import watch
 
 
@@ -64,6 +65,125 @@ def test_watch(spark, tmp_path):
     assert sorted(Path(r.file_path).name for r in ingest.read(spark, lib).collect()) == ["a.mp3", "b.mp3"]
 
 
+def counting(folder):
+    # a file per call: workers share nothing else
+    def extractor(batches):
+        import uuid
+
+        for pdf in batches:
+            for f in pdf["file_path"]:
+                Path(folder, uuid.uuid4().hex).write_text(f)
+            yield pd.DataFrame({"file_path": pdf["file_path"], "title": None, "artist": None, "duration_sec": 1.0, "feature_json": '{"version": "1.1"}', "clap_embedding": None, "error": None})
+
+    return extractor
+
+
+def test_each_new_file_is_extracted_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+    files(tmp_path / "m", *[f"{i}.mp3" for i in range(5)])
+    ingest.run(spark, str(tmp_path / "m"), str(tmp_path / "l"), counting(str(calls))).collect()
+    assert sorted(Path(p.read_text()).name for p in calls.iterdir()) == [f"{i}.mp3" for i in range(5)]
+
+
+def test_a_crash_before_the_commit_loses_nothing(spark, tmp_path, monkeypatch):
+    music, lib = tmp_path / "m", str(tmp_path / "l")
+    files(music, "a.mp3", "b.mp3")
+    ingest.run(spark, str(music), lib, extractor, OPTIONS).collect()
+    files(music, "c.mp3")
+
+    def crash(*_):
+        raise OSError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "_commit", crash)
+        with pytest.raises(OSError):
+            ingest.run(spark, str(music), lib, extractor, OPTIONS)
+    assert ingest.read(spark, lib).count() == 2
+    ingest.init(spark, lib)
+    assert ingest.read(spark, lib).count() == 2
+    ingest.run(spark, str(music), lib, extractor, OPTIONS).collect()
+    assert sorted((r.id, Path(r.file_path).name) for r in ingest.read(spark, lib).collect()) == [(1, "a.mp3"), (2, "b.mp3"), (3, "c.mp3")]
+
+
+def test_deltas_are_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACT", 2)
+    music, lib = tmp_path / "m", str(tmp_path / "l")
+    for name in "abcd":
+        files(music, f"{name}.mp3")
+        ingest.run(spark, str(music), lib, extractor, OPTIONS).collect()
+    assert [(n, k) for n, k, _ in ingest._folders(spark, lib)] == [(1, "v"), (2, "d"), (3, "d"), (4, "v"), (5, "d")]
+    assert [r.id for r in ingest.read(spark, lib).orderBy("id").collect()] == [1, 2, 3, 4]
+
+
+def make_tools():
+    def load():
+        import time
+
+        from crateflow.operators.extractors import Tools
+
+        def features(path):
+            if "broken" in path:
+                raise ValueError("cannot decode")
+            if "slow" in path:
+                time.sleep(30)
+            return {"version": "1.1", "duration_sec": 12.5}
+
+        def mood(path):
+            if "moodless" in path:
+                raise RuntimeError("no model")
+            return {"sad": 0.5}
+
+        def embedding(path):
+            if "deaf" in path:
+                raise RuntimeError("no sound")
+            return [1.0, 2.0]
+
+        return Tools(lambda path: ("T", None), features, mood, embedding)
+
+    return load
+
+
+def test_phases_fail_apart_and_files_apart(spark, tmp_path):
+    music, lib = tmp_path / "m", str(tmp_path / "l")
+    files(music, "ok.mp3", "broken.mp3", "slow.mp3", "moodless.mp3", "deaf.mp3")
+    run = extractors.phased(make_tools(), extractors.Limits(dsp=1))
+    status = {Path(r.file_path).stem: r.status for r in ingest.run(spark, str(music), lib, run, OPTIONS).collect()}
+    assert status == {"ok": "processed", "broken": "failed", "slow": "failed", "moodless": "processed", "deaf": "failed"}
+    rows = {Path(r.file_path).stem: r for r in ingest.read(spark, lib).collect()}
+    assert json.loads(rows["ok"].feature_json)["mood"] == {"sad": 0.5} and rows["ok"].clap_embedding == [1.0, 2.0] and rows["ok"].duration_sec == 12.5
+    assert "mood" not in json.loads(rows["moodless"].feature_json) and rows["broken"].feature_json is None and rows["slow"].feature_json is None
+    assert rows["deaf"].feature_json and rows["deaf"].clap_embedding is None
+    again = {Path(r.file_path).stem: r.action for r in ingest.classify(ingest.scan(spark, str(music)), ingest.read(spark, lib), ingest.Options(retry_missing_mood=True, dim=2)).collect()}
+    assert again == {"ok": "skip", "broken": "re-extract", "slow": "re-extract", "moodless": "re-extract", "deaf": "skip"}
+
+
+def test_limits(monkeypatch):
+    for name, _ in extractors.LIMITS.values():
+        monkeypatch.delenv(name, raising=False)
+    assert [extractors.limit_of(p) for p in ("all", "dsp", "mood")] == [180, 60, 180]
+    monkeypatch.setenv("EXTRACT_DSP_TIMEOUT_SEC", "90")
+    assert extractors.limit_of("dsp") == 90 and extractors.limit_of("dsp", 5) == 5 and extractors.limit_of("dsp", 5, 7) == 7
+    for bad in ("soon", " "):
+        monkeypatch.setenv("EXTRACT_DSP_TIMEOUT_SEC", bad)
+        assert extractors.limit_of("dsp") == 60
+    with pytest.raises(ValueError):
+        extractors.limit_of("lyrics")
+
+
+def test_commands_and_manifests(spark, tmp_path):
+    script = tmp_path / "x.py"
+    script.write_text("import sys, json, pathlib\nif 'bad' in sys.argv[1]: sys.exit('cannot')\nif 'none' not in sys.argv[1]: pathlib.Path(sys.argv[2]).write_text(json.dumps({'at': sys.argv[1]}))")
+    run = extractors.command([sys.executable, str(script)], 20)
+    assert run("/a.mp3") == {"at": "/a.mp3"}
+    for path, text in (("/bad.mp3", "cannot"), ("/none.mp3", "no output")):
+        with pytest.raises(RuntimeError, match=text):
+            run(path)
+    m = spark.createDataFrame([("/a", "1"), ("/b", "2"), ("/c", "3")], "audio_path string, output_path string")
+    x = spark.createDataFrame([("/a", None), ("/b", "no")], "file_path string, error string")
+    assert {r.output_path: (r.ok, r.error) for r in extractors.manifest_summary(m, x).collect()} == {"1": (True, None), "2": (False, "no"), "3": (False, "not extracted")}
+
+
 def test_log_activity(spark, tmp_path):
     rows = [(1, "failed", "2024-01-01 10:01:00"), (1, "failed", "2024-01-01 10:01:00"), (2, "processed", "2024-01-01 10:30:00"), (3, "processed", "2024-01-01 14:00:00")]
     df = spark.createDataFrame(rows, "log_id bigint, status string, t string").selectExpr("log_id", "status", "cast(t as timestamp) as logged_at")
