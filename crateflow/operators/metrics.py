@@ -27,8 +27,11 @@ def nearest(pairs: DataFrame, distance: str, k: int = 3) -> DataFrame:
 
 
 def nn_agreement(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(n, exact_match, top3_overlap): how far two distances agree on nearest rows; overlap is always over 3."""
-    x, y = nearest(pairs, a), nearest(pairs, b)
+    """(n, exact_match, top3_overlap): how far two distances agree on nearest rows; overlap is always over 3.
+
+    ``pairs`` may leave out rows that aren't among the nearest, or give them an infinite distance.
+    """
+    x, y = (nearest(pairs.where(F.col(c) < float("inf")), c) for c in (a, b))
     both = x.select("query_id", "id", F.col("rank").alias("ra")).join(y.select("query_id", "id", F.col("rank").alias("rb")), ["query_id", "id"])
     hits = both.groupBy("query_id").agg(F.count("*").alias("both"), F.max(((F.col("ra") == 1) & (F.col("rb") == 1)).cast("int")).alias("same"))
     all_ = x.select("query_id").distinct().join(hits, "query_id", "left")
@@ -162,14 +165,9 @@ def compare_kernel(low: float, high: float, band: str):
     """Each block's best unvisited row that fits the band (miss 0), and its nearest unvisited row (miss 1)."""
 
     def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
-        x = x.sort_by("id")
         ids, w = x.column("id").to_numpy(), q.column("walk_id").to_numpy()
         d = unit_distances(blocks.rows_of(q.column("unit")), blocks.rows_of(x.column("unit")))
-        visited = blocks.rows_of(q.column("visited")).astype(np.int64)
-        place = np.minimum(np.searchsorted(ids, visited), len(ids) - 1)
-        r, c = np.nonzero(ids[place] == visited)
-        open_ = np.ones(d.shape, bool)
-        open_[r, place[r, c]] = False
+        open_ = ~blocks.closed(ids, q.column("visited"))
         fits = {"Near": d <= low + 1e-12, "Mid": (d > low) & (d <= high), "Far": d > high}[band]
         parts = []
         for miss, ok, o in ((0, open_ & fits, -d if band == "Far" else d), (1, open_, d)):
@@ -191,13 +189,14 @@ def compare_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, schedule:
     """
     slim = durable(library.select("id", "unit").where("unit is not null"))
     low, high = all_pair_cuts(slim)
+    packed = blocks.packed_library(slim)
     state = durable(seeds.select("walk_id", "id").join(slim, "id").select("walk_id", "unit", F.array("id").alias("visited")))
     out = None
     for step in range(limit):
         band = schedule[step % len(schedule)]
         if band not in ("Near", "Mid", "Far"):
             break
-        found = blocks.cross(state, slim, compare_kernel(low, high, band), "walk_id bigint, miss int, o double, id bigint, d double")
+        found = blocks.cross(state, packed, compare_kernel(low, high, band), "walk_id bigint, miss int, o double, id bigint, d double")
         chosen = durable(found.groupBy("walk_id").agg(F.min(F.struct("miss", "o", "id", "d")).alias("b")).select("walk_id", "b.id", "b.d"))
         rows = chosen.select("walk_id", F.lit(step + 1).alias("position"), "id", F.lit(band).alias("band"), F.round("d", 4).alias("distance"))
         out = rows if out is None else out.unionByName(rows)

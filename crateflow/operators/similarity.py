@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,15 +14,14 @@ from pyspark.sql import functions as F
 from crateflow.functions import columns as C
 from crateflow.operators import blocks
 from crateflow.operators.walk import band_starts
+from crateflow.session import durable
 
 
 def _top_kernel(k: int):
     def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
         a, b = blocks.rows_of(q.column("unit")), blocks.rows_of(x.column("unit"))
         qi, xi = q.column("id").to_numpy(), x.column("id").to_numpy()
-        order = np.argsort(xi, kind="stable")
-        sim = np.round(a @ b.T, 12)[:, order]
-        xi = xi[order]
+        sim = np.round(a @ b.T, 12)
         sim[qi[:, None] == xi[None, :]] = -np.inf
         top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
         s = np.take_along_axis(sim, top, axis=1)
@@ -41,28 +41,80 @@ def top_k(queries: DataFrame, library: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _pair_kernel(q: pa.Table, x: pa.Table) -> pa.Table:
-    qi, xi = q.column("id").to_numpy(), x.column("id").to_numpy()
+#: Bins of similarities from -1 to 1.
+BINS = 512
+
+
+def _other_sims(q: pa.Table, x: pa.Table) -> np.ndarray:
+    """Cosines, NaN between a row and itself."""
     sim = np.round(blocks.rows_of(q.column("unit")) @ blocks.rows_of(x.column("unit")).T, 12)
-    r, c = np.nonzero(qi[:, None] != xi[None, :])
-    return pa.table({"query_id": qi[r], "id": xi[c], "sim": sim[r, c]})
+    sim[q.column("id").to_numpy()[:, None] == x.column("id").to_numpy()[None, :]] = np.nan
+    return sim
+
+
+def _bins(sim: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((sim + 1.0) * (BINS / 2)), 0, BINS - 1).astype(np.int64)
 
 
-def bands(queries: DataFrame, library: DataFrame, near: float = 0.10, mid: float = 0.40) -> DataFrame:
-    """(query_id, id, sim, band): every other row, by the quantile band in which its similarity ranks.
+def band_report(queries: DataFrame, library: DataFrame, near: float = 0.10, mid: float = 0.40) -> DataFrame:
+    """(query_id, band, n, first_rank, id_sum, most, least): the quantile bands of every query's ranking of all other rows.
 
-    Band edges are found by counting similarity bins; only the rows of an edge's bin are ranked.
+    The first pass adds up bins of similarities, the second brings the rows of the bins in which a band
+    begins, which alone are ranked; no other pair leaves a kernel.
     """
-    rows = blocks.cross(queries.select("id", "unit").where("unit is not null"), library.select("id", "unit").where("unit is not null"), _pair_kernel, "query_id bigint, id bigint, sim double")
-    binned = rows.withColumn("bin", F.floor((F.col("sim") + 1.0) * 2048))
-    count = binned.groupBy("query_id", "bin").agg(F.count("*").alias("c"))
+    asked, packed = queries.select("id", "unit").where("unit is not null"), blocks.packed_library(library.select("id", "unit").where("unit is not null"))
+
+    def start(q: pa.Table) -> list[np.ndarray]:
+        shape = (q.num_rows, BINS)
+        return [np.zeros(shape, np.int64), np.zeros(shape, np.int64), np.full(shape, -np.inf), np.full(shape, np.inf)]
+
+    def add(state: list[np.ndarray], q: pa.Table, x: pa.Table) -> None:
+        sim = _other_sims(q, x)
+        r, c = np.nonzero(~np.isnan(sim))
+        v = sim[r, c]
+        at = r * BINS + _bins(v)
+        ids = x.column("id").to_numpy()[c]
+        state[0] += np.bincount(at, minlength=state[0].size).reshape(state[0].shape)
+        order = np.argsort(at, kind="stable")
+        at, v, ids = at[order], v[order], ids[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+        if len(first):
+            place = np.unravel_index(at[first], state[0].shape)
+            state[1][place] += np.add.reduceat(ids, first)
+            state[2][place] = np.maximum(state[2][place], np.maximum.reduceat(v, first))
+            state[3][place] = np.minimum(state[3][place], np.minimum.reduceat(v, first))
+
+    def end(state: list[np.ndarray], q: pa.Table) -> pa.Table:
+        r, b = np.nonzero(state[0])
+        return pa.table({"query_id": q.column("id").to_numpy()[r], "bin": b, "n": state[0][r, b], "id_sum": state[1][r, b], "most": state[2][r, b], "least": state[3][r, b]})
+
+    counted = blocks.tally(asked, packed, start, add, end, "query_id bigint, bin bigint, n bigint, id_sum bigint, most double, least double")
+    bins = counted.groupBy("query_id", "bin").agg(*[F.sum(c).alias(c) for c in ("n", "id_sum")], F.max("most").alias("most"), F.min("least").alias("least"))
     every = W.partitionBy("query_id")
-    run = count.withColumn("upto", F.sum("c").over(every.orderBy(F.col("bin").desc()))).withColumn("n", F.sum("c").over(every)).select("query_id", "bin", (F.col("upto") - F.col("c")).alias("before"), "n")
-    inside = F.row_number().over(W.partitionBy("query_id", "bin").orderBy(F.col("sim").desc(), "id"))
-    ranked = binned.join(run, ["query_id", "bin"]).withColumn("rank", F.col("before") + inside)
-    start = band_starts(F.col("n"), near, mid)
-    band = F.when(F.col("rank") >= F.coalesce(start["Far"], F.col("n") + 1), "Far").when(F.col("rank") >= F.coalesce(start["Mid"], F.col("n") + 1), "Mid").otherwise("Near")
-    return ranked.select("query_id", "id", "sim", "rank", band.alias("band"))
+    run = bins.withColumn("upto", F.sum("n").over(every.orderBy(F.col("bin").desc()))).withColumn("total", F.sum("n").over(every))
+    edge = band_starts(F.col("total"), near, mid)
+    # greatest rank in Near, and in Near and Mid
+    ends = [F.coalesce(edge["Mid"] - 1, edge["Far"] - 1, F.col("total")), F.coalesce(edge["Far"] - 1, F.col("total"))]
+    run = durable(run.withColumn("near", F.when(edge["Near"].isNull(), 0).otherwise(ends[0])).withColumn("mid", ends[1]).withColumn("before", F.col("upto") - F.col("n")))
+    cut = ((F.col("before") < F.col("near")) & (F.col("near") < F.col("upto"))) | ((F.col("before") < F.col("mid")) & (F.col("mid") < F.col("upto")))
+    band = F.when(F.col("rank") <= F.col("near"), "Near").when(F.col("rank") <= F.col("mid"), "Mid").otherwise("Far")
+    whole = run.where(~cut).withColumn("rank", F.col("before") + 1).select("query_id", band.alias("band"), "n", "rank", "id_sum", "most", "least")
+
+    def inside(q: pa.Table, x: pa.Table) -> pa.Table:
+        sim = _other_sims(q, x)
+        wanted = np.zeros((q.num_rows, BINS), bool)
+        for r, list_ in enumerate(q.column("cut").to_pylist()):
+            wanted[r, list_] = True
+        known = ~np.isnan(sim)
+        r, c = np.nonzero(known & np.take_along_axis(wanted, _bins(np.where(known, sim, 0.0)), axis=1))
+        return pa.table({"query_id": q.column("id").to_numpy()[r], "id": x.column("id").to_numpy()[c], "sim": sim[r, c], "bin": _bins(sim[r, c])})
+
+    cuts = run.where(cut).groupBy(F.col("query_id").alias("id")).agg(F.collect_list(F.col("bin").cast("int")).alias("cut"))
+    rows = blocks.cross(asked.join(cuts, "id"), packed, inside, "query_id bigint, id bigint, sim double, bin bigint")
+    place = F.row_number().over(W.partitionBy("query_id", "bin").orderBy(F.col("sim").desc(), "id"))
+    ranked = rows.withColumn("place", place).join(run.select("query_id", "bin", "before", "near", "mid"), ["query_id", "bin"]).withColumn("rank", F.col("before") + F.col("place"))
+    parts = whole.unionByName(ranked.select("query_id", band.alias("band"), F.lit(1).cast("bigint").alias("n"), "rank", F.col("id").alias("id_sum"), F.col("sim").alias("most"), F.col("sim").alias("least")))
+    return parts.groupBy("query_id", "band").agg(F.sum("n").alias("n"), F.min("rank").alias("first_rank"), F.sum("id_sum").alias("id_sum"), F.max("most").alias("most"), F.min("least").alias("least"))
 
 
 def column_stats(vectors: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -100,45 +152,155 @@ def column_stats(vectors: DataFrame, column: str) -> tuple[np.ndarray, np.ndarra
     return mean, np.where(sigma > 1e-12, sigma, 1.0)
 
 
-def pair_distances(queries: DataFrame, library: DataFrame, sigma_unit: np.ndarray, sigma_vector: np.ndarray) -> DataFrame:
-    """(query_id, id, cosine, d_clap, d_essentia): three distances of each query to every other row.
+PAIRED = ["id", "unit", "raw", "vector"]
+METRICS = ("cosine", "d_clap", "d_essentia")
+
+
+def _three(q: pa.Table, x: pa.Table, sigma_unit: np.ndarray, sigma_vector: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(which pairs are of two rows, the three distances of ``METRICS``) of two blocks.
 
-    ``cosine`` is clamped; the other two are root-mean-square distances of standardised embeddings and
-    of standardised feature vectors.
+    The cosine is clamped; the other two are root-mean-square distances of standardised embeddings and of
+    standardised feature vectors. 12 decimals.
     """
+    a, b = blocks.rows_of(q.column("unit")), blocks.rows_of(x.column("unit"))
+    za, zb = ~(a != 0).any(axis=1), ~(b != 0).any(axis=1)
+    cos = 1 - np.clip(a @ b.T, -1, 1)
+    out = [np.round(np.where(za[:, None] & zb[None, :], 0.0, np.where(za[:, None] | zb[None, :], 1.0, cos)), 12)]
+    for m, k, s in ((blocks.rows_of(q.column("raw")), blocks.rows_of(x.column("raw")), sigma_unit), (blocks.rows_of(q.column("vector")), blocks.rows_of(x.column("vector")), sigma_vector)):
+        m, k = m / s, k / s
+        sq = (m * m).sum(axis=1)[:, None] + (k * k).sum(axis=1)[None, :] - 2 * m @ k.T
+        # close pairs lose digits in that form: they are taken directly
+        r, c = np.nonzero(sq < 1e-6 * len(s))
+        for at in range(0, len(r), 4096):
+            i, j = r[at : at + 4096], c[at : at + 4096]
+            sq[i, j] = ((m[i] - k[j]) ** 2).sum(axis=1)
+        out.append(np.round(np.sqrt(np.maximum(sq, 0) / len(s)), 12))
+    return q.column("id").to_numpy()[:, None] != x.column("id").to_numpy()[None, :], out
+
+
+def pair_distances(queries: DataFrame, library: DataFrame, sigma_unit: np.ndarray, sigma_vector: np.ndarray) -> DataFrame:
+    """(query_id, id, cosine, d_clap, d_essentia) of each query to every other row: for a rank correlation, which needs them all."""
 
     def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
-        qi, xi = q.column("id").to_numpy(), x.column("id").to_numpy()
-        a, b = blocks.rows_of(q.column("unit")), blocks.rows_of(x.column("unit"))
-        za, zb = ~(a != 0).any(axis=1), ~(b != 0).any(axis=1)
-        cos = 1 - np.clip(a @ b.T, -1, 1)
-        cos = np.where(za[:, None] & zb[None, :], 0.0, np.where(za[:, None] | zb[None, :], 1.0, cos))
-        out = []
-        for m, k, s in ((blocks.rows_of(q.column("raw")), blocks.rows_of(x.column("raw")), sigma_unit), (blocks.rows_of(q.column("vector")), blocks.rows_of(x.column("vector")), sigma_vector)):
-            m, k = m / s, k / s
-            sq = (m * m).sum(axis=1)[:, None] + (k * k).sum(axis=1)[None, :] - 2 * m @ k.T
-            # close pairs lose digits in that form: they are taken directly
-            for r, c in np.argwhere(sq < 1e-6 * len(s)):
-                sq[r, c] = ((m[r] - k[c]) ** 2).sum()
-            out.append(np.sqrt(np.maximum(sq, 0) / len(s)))
-        r, c = np.nonzero(qi[:, None] != xi[None, :])
-        return pa.table({"query_id": qi[r], "id": xi[c], "cosine": np.round(cos[r, c], 12), "d_clap": np.round(out[0][r, c], 12), "d_essentia": np.round(out[1][r, c], 12)})
-
-    cols = ["id", "unit", "raw", "vector"]
-    return blocks.cross(queries.select(*cols), library.select(*cols), kernel, "query_id bigint, id bigint, cosine double, d_clap double, d_essentia double")
-
-
-def directed(queries: DataFrame, library: DataFrame, sigma: np.ndarray, hold: int) -> DataFrame:
-    """(query_id, id, d, free, held): standardised distance, the one with the candidate's hold axis at 0, raw hold difference."""
-    from crateflow.operators.walk import legacy_distances
+        apart, d = _three(q, x, sigma_unit, sigma_vector)
+        r, c = np.nonzero(apart)
+        return pa.table({"query_id": q.column("id").to_numpy()[r], "id": x.column("id").to_numpy()[c]} | {m: v[r, c] for m, v in zip(METRICS, d, strict=True)})
+
+    return blocks.cross(queries.select(*PAIRED), library.select(*PAIRED), kernel, "query_id bigint, id bigint, cosine double, d_clap double, d_essentia double")
+
+
+def pair_means(queries: DataFrame, library: DataFrame, sigma_unit: np.ndarray, sigma_vector: np.ndarray) -> DataFrame:
+    """(query_id, n, mean_cosine, mean_clap, mean_essentia, least_cosine): each query against every other row, summed in the kernel."""
+
+    def start(q: pa.Table) -> np.ndarray:
+        return np.vstack([np.zeros((4, q.num_rows)), np.full((1, q.num_rows), np.inf)])
+
+    def add(state: np.ndarray, q: pa.Table, x: pa.Table) -> None:
+        apart, d = _three(q, x, sigma_unit, sigma_vector)
+        state[0] += apart.sum(axis=1)
+        for k, v in enumerate(d):
+            state[k + 1] += np.where(apart, v, 0.0).sum(axis=1)
+        state[4] = np.minimum(state[4], np.where(apart, d[0], np.inf).min(axis=1))
+
+    def end(state: np.ndarray, q: pa.Table) -> pa.Table:
+        return pa.table({"query_id": q.column("id").to_numpy(), "n": state[0].astype(np.int64), **{f"s{k}": state[k + 1] for k in range(4)}})
+
+    parts = blocks.tally(queries.select(*PAIRED), library.select(*PAIRED), start, add, end, "query_id bigint, n bigint, s0 double, s1 double, s2 double, s3 double").where("n > 0")
+    means = [(F.sum(f"s{k}") / F.sum("n")).alias(c) for k, c in enumerate(("mean_cosine", "mean_clap", "mean_essentia"))]
+    return parts.groupBy("query_id").agg(F.sum("n").alias("n"), *means, F.min("s3").alias("least_cosine"))
+
+
+def pair_nearest(queries: DataFrame, library: DataFrame, sigma_unit: np.ndarray, sigma_vector: np.ndarray, k: int = 3) -> DataFrame:
+    """(query_id, id, d_clap, d_essentia): rows that are among the ``k`` nearest by either distance in some block; an infinite distance stands for one that isn't."""
 
     def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
-        qi, xi = q.column("id").to_numpy(), x.column("id").to_numpy()
-        d, free, held = legacy_distances(blocks.rows_of(q.column("vector")), blocks.rows_of(x.column("vector")), sigma, hold)
-        r, c = np.nonzero(qi[:, None] != xi[None, :])
-        return pa.table({"query_id": qi[r], "id": xi[c], "d": d[r, c], "free": free[r, c], "held": held[r, c]})
+        apart, d = _three(q, x, sigma_unit, sigma_vector)
+        qi, xi, parts = q.column("id").to_numpy(), x.column("id").to_numpy(), []
+        for m in (1, 2):
+            v = np.where(apart, d[m], np.inf)
+            top = np.argsort(v, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(v, top, axis=1)
+            r, c = np.nonzero(np.isfinite(near))
+            none = np.full(len(r), np.inf)
+            parts.append((qi[r], xi[top[r, c]], *((near[r, c], none) if m == 1 else (none, near[r, c]))))
+        return pa.table(dict(zip(("query_id", "id", "d_clap", "d_essentia"), (np.concatenate(y) for y in zip(*parts, strict=True)), strict=True)))
+
+    return blocks.cross(queries.select(*PAIRED), library.select(*PAIRED), kernel, "query_id bigint, id bigint, d_clap double, d_essentia double")
+
+
+def pair_cuts(queries: DataFrame, library: DataFrame, sigma_unit: np.ndarray, sigma_vector: np.ndarray, shares: tuple[float, ...] = (0.33, 0.66)) -> list[float]:
+    """The ``d_clap`` distances at these shares of the sorted list of pairs: bins are counted first, then the values of the bins wanted."""
+    asked, packed = queries.select(*PAIRED), blocks.packed_library(library.select(*PAIRED))
+
+    def values(q: pa.Table, x: pa.Table) -> np.ndarray:
+        apart, d = _three(q, x, sigma_unit, sigma_vector)
+        return d[1][apart]
+
+    def counted(pick: Callable[[np.ndarray], np.ndarray], kind: str) -> DataFrame:
+        def add(state: Counter, q: pa.Table, x: pa.Table) -> None:
+            v, n = np.unique(pick(values(q, x)), return_counts=True)
+            for key, m in zip(v.tolist(), n.tolist(), strict=True):
+                state[key] += m
+
+        def end(state: Counter, q: pa.Table) -> pa.Table:
+            return pa.table({"v": pa.array(list(state), pa.float64() if kind == "double" else pa.int64()), "n": pa.array(list(state.values()), pa.int64())})
+
+        return blocks.tally(asked, packed, lambda q: Counter(), add, end, f"v {kind}, n bigint").groupBy("v").agg(F.sum("n").alias("n"))
+
+    bins = sorted((r.v, r.n) for r in counted(blocks.levels, "bigint").collect())
+    total = sum(n for _, n in bins)
+    if not total:
+        return [float("nan") for _ in shares]
+    places = [min(int(share * total), total - 1) for share in shares]
+    upto = np.cumsum([n for _, n in bins])
+    at = [int(np.searchsorted(upto, p, side="right")) for p in places]
+    wanted = np.array(sorted({bins[k][0] for k in at}))
+    found = durable(counted(lambda v: v[np.isin(blocks.levels(v), wanted)], "double"))
+    out = []
+    for p, k in zip(places, at, strict=True):
+        low, high = (upto[k - 1] if k else 0), bins[k][0]
+        rows = found.where(F.col("v").isNotNull())
+        run = [r for r in rows.withColumn("b", F.lit(0)).select("v", "n").orderBy("v").toLocalIterator() if int(blocks.levels(np.array([r.v]))[0]) == high]
+        left = p - low
+        for r in run:
+            if left < r.n:
+                out.append(r.v)
+                break
+            left -= r.n
+    return out
+
+
+def legacy_report(queries: DataFrame, library: DataFrame, sigma: np.ndarray, hold: int, near: float = 0.3, mid: float = 0.7) -> DataFrame:
+    """(query_id, band, n, least, most, id, d): per query, the bands of standardised distance, and as band ``Jump`` the rows far away
+    but for the hold axis; ``id`` and ``d`` are the nearest of them. Counted in the kernel."""
+    from crateflow.operators.walk import legacy_distances
 
-    return blocks.cross(queries.select("id", "vector"), library.select("id", "vector"), kernel, "query_id bigint, id bigint, d double, free double, held double")
+    names = ("Near", "Mid", "Far", "Jump")
+
+    def start(q: pa.Table) -> dict:
+        shape = (len(names), q.num_rows)
+        return {"n": np.zeros(shape, np.int64), "least": np.full(shape, np.inf), "most": np.full(shape, -np.inf), "id": np.full(shape, np.iinfo(np.int64).max)}
+
+    def add(state: dict, q: pa.Table, x: pa.Table) -> None:
+        ids = x.column("id").to_numpy()
+        d, free, held = legacy_distances(blocks.rows_of(q.column("vector")), blocks.rows_of(x.column("vector")), sigma, hold)
+        apart = q.column("id").to_numpy()[:, None] != ids[None, :]
+        for k, hit in enumerate(((d > 0) & (d <= near), (d > near) & (d <= mid), d > mid, (free > mid) & (held <= near))):
+            hit &= apart
+            v = np.where(hit, d, np.inf)
+            best = v.argmin(axis=1)
+            low, who = v[np.arange(len(v)), best], ids[best]
+            state["n"][k] += hit.sum(axis=1)
+            state["most"][k] = np.maximum(state["most"][k], np.where(hit, d, -np.inf).max(axis=1))
+            better = np.isfinite(low) & ((low < state["least"][k]) | ((low == state["least"][k]) & (who < state["id"][k])))
+            state["least"][k][better], state["id"][k][better] = low[better], who[better]
+
+    def end(state: dict, q: pa.Table) -> pa.Table:
+        k, r = np.nonzero(state["n"])
+        return pa.table({"query_id": q.column("id").to_numpy()[r], "band": np.array(names)[k], "n": state["n"][k, r], "most": state["most"][k, r], "d": state["least"][k, r], "id": state["id"][k, r]})
+
+    parts = blocks.tally(queries.select("id", "vector"), library.select("id", "vector"), start, add, end, "query_id bigint, band string, n bigint, most double, d double, id bigint")
+    return parts.groupBy("query_id", "band").agg(F.sum("n").alias("n"), F.min("d").alias("least"), F.max("most").alias("most"), F.min(F.struct("d", "id")).alias("b")).select("query_id", "band", "n", "least", "most", "b.id", "b.d")
 
 
 def legacy_band(d: Column, near: float = 0.3, mid: float = 0.7) -> Column:

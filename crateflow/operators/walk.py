@@ -1,9 +1,10 @@
 """Playlist walks, all seeds at once.
 
-A walk is sequential in its steps and independent of other walks: each step is one pass of the states
-of all walks over the library, in blocks. The kernel applies the gates and similarities; counting by
-similarity bin finds where a walk's scheduled band begins, so only that bin's rows are ranked. States
-are checkpointed each step.
+A walk is sequential in its steps and independent of other walks: each step takes the states of all walks
+over the library twice, in blocks. The first pass applies the gates and counts survivors by mood box and
+similarity bin, summed over a task's blocks; the counts say which box counts and in which bin, at which
+place, a walk's scheduled band begins. The second pass brings that bin's best rows only. No table of
+survivors exists. States are checkpointed each step, the library's blocks once.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from crateflow.session import durable
 
 SMALL = 20
 RELAXATIONS = 3
-BINS = 4096
+BINS = 256
 ENTRY = "walk_id bigint, position int, id bigint, band string, distance double, reason string"
 
 
@@ -73,38 +74,94 @@ def _levels(x: pa.Table, s: Sampler) -> np.ndarray:
     return bits
 
 
-def gate_kernel(s: Sampler, everything: bool = True):
-    """Kernel of a step: survivors of the gates (kind 0), and each block's nearest unvisited row (kind 1)."""
+def _gated(q: pa.Table, x: pa.Table, s: Sampler) -> tuple[np.ndarray, ...]:
+    """(similarities, open rows, survivors of tempo and key gates, penalised ones, box bits of the library's rows)."""
+    sim = _sims(q, x)
+    open_ = ~blocks.closed(x.column("id").to_numpy(), q.column("visited"))
+    bits = _levels(x, s)
+    a, b = (t.column("slot").to_numpy(zero_copy_only=False).astype(float) for t in (q, x))
+    d = np.abs(a[:, None] - b[None, :]) % 24
+    steps = np.minimum(d, 24 - d)
+    block = steps > s.key_max_steps + 2
+    now, centre, bpm = (q.column("bpm").to_numpy(), q.column("centre").to_numpy(), x.column("bpm").to_numpy())
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = ~((centre[:, None] > 0) & (np.abs(bpm[None, :] - centre[:, None]) / centre[:, None] <= s.tempo_max_step_pct))
+    off = (now[:, None] > 0) & (bpm[None, :] > 0) & far
+    ok = open_ & ~block & ~off & (bits > 0)[None, :]
+    if not s.allow_missing_clap:
+        ok &= x.column("unit").is_valid().to_numpy(zero_copy_only=False)[None, :]
+    return sim, open_, ok, (steps > s.key_max_steps) & ~block, bits
+
+
+def gate_kernel(s: Sampler):
+    """Every survivor of the gates, for callers that want them all."""
 
     def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
-        ids = x.column("id").to_numpy()
-        sim = _sims(q, x)
-        visited = np.array([np.isin(ids, v) for v in q.column("visited").to_pylist()])
-        open_ = ~visited
-        bits = _levels(x, s)
-        a, b = (t.column("slot").to_numpy(zero_copy_only=False).astype(float) for t in (q, x))
-        d = np.abs(a[:, None] - b[None, :]) % 24
-        steps = np.minimum(d, 24 - d)
-        block = steps > s.key_max_steps + 2
-        verdict = (steps > s.key_max_steps) & ~block
-        now, centre, bpm = (q.column("bpm").to_numpy(), q.column("centre").to_numpy(), x.column("bpm").to_numpy())
-        with np.errstate(divide="ignore", invalid="ignore"):
-            far = ~((centre[:, None] > 0) & (np.abs(bpm[None, :] - centre[:, None]) / centre[:, None] <= s.tempo_max_step_pct))
-        off = (now[:, None] > 0) & (bpm[None, :] > 0) & far
-        ok = open_ & ~block & ~off & (bits > 0)[None, :]
-        if not s.allow_missing_clap:
-            ok &= ~np.isnan(sim).all(axis=0)[None, :] | np.isnan(sim).all(axis=1)[:, None]
-            ok &= x.column("unit").is_valid().to_numpy(zero_copy_only=False)[None, :]
+        sim, _, ok, verdict, bits = _gated(q, x, s)
+        r, c = np.nonzero(ok)
+        return pa.table({"walk_id": q.column("walk_id").to_numpy()[r], "id": x.column("id").to_numpy()[c], "sim": pa.array(sim[r, c], from_pandas=True), "verdict": verdict[r, c].astype(np.int32), "bits": bits[c]})
+
+    return kernel
+
+
+def _bins(sim: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor((sim + 1.0) * (BINS / 2)), 0, BINS - 1).astype(np.int64)
+
+
+def gate_counts(state: DataFrame, library: DataFrame, s: Sampler) -> DataFrame:
+    """(walk_id, kind, key, n, id, sim): per walk and task, survivors by box (kind 0), by box and similarity bin (kind 1), and the nearest open row (kind 2)."""
+    levels = len(s.boxes())
+
+    def start(q: pa.Table) -> dict:
+        n = q.num_rows
+        return {"any": np.zeros((n, levels), np.int64), "bin": np.zeros((n, levels, BINS), np.int64), "sim": np.full(n, -np.inf), "id": np.full(n, np.iinfo(np.int64).max)}
+
+    def add(state: dict, q: pa.Table, x: pa.Table) -> None:
+        sim, open_, ok, _, bits = _gated(q, x, s)
+        n, ids = q.num_rows, x.column("id").to_numpy()
+        known = ~np.isnan(sim)
+        r, c = np.nonzero(ok)
+        there, b, row_bits = known[r, c], _bins(np.where(known, sim, 0.0)[r, c]), bits[c]
+        for k in range(levels):
+            hit = row_bits >> k & 1 == 1
+            state["any"][:, k] += np.bincount(r[hit], minlength=n)
+            hit &= there
+            state["bin"][:, k] += np.bincount(r[hit] * BINS + b[hit], minlength=n * BINS).reshape(n, BINS)
+        near = np.where(open_ & known, sim, -np.inf)
+        best = near.argmax(axis=1)
+        top, who = near[np.arange(n), best], ids[best]
+        better = (top > state["sim"]) | ((top == state["sim"]) & (who < state["id"]))
+        better &= np.isfinite(top)
+        state["sim"][better], state["id"][better] = top[better], who[better]
+
+    def end(state: dict, q: pa.Table) -> pa.Table:
         w = q.column("walk_id").to_numpy()
+        r, k = np.nonzero(state["any"])
+        a = (w[r], np.zeros(len(r), np.int32), k, state["any"][r, k], np.zeros(len(r), np.int64), np.zeros(len(r)))
+        r, k, b = np.nonzero(state["bin"])
+        c = (w[r], np.ones(len(r), np.int32), k * BINS + b, state["bin"][r, k, b], np.zeros(len(r), np.int64), np.zeros(len(r)))
+        r = np.flatnonzero(np.isfinite(state["sim"]))
+        e = (w[r], np.full(len(r), 2, np.int32), np.zeros(len(r), np.int64), np.zeros(len(r), np.int64), state["id"][r], state["sim"][r])
+        return pa.table(dict(zip(("walk_id", "kind", "key", "n", "id", "sim"), (np.concatenate(x) for x in zip(a, c, e, strict=True)), strict=True)))
+
+    return blocks.tally(state, library, start, add, end, COUNTED)
+
+
+def bin_kernel(s: Sampler):
+    """The best ``k`` survivors of each walk's box and bin in a block."""
+
+    def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
+        sim, _, ok, verdict, bits = _gated(q, x, s)
+        level, bin_, k = (q.column(c).to_numpy() for c in ("level", "bin", "k"))
+        known = ~np.isnan(sim)
+        ok &= known & (bits[None, :] >> level[:, None] & 1 == 1) & (_bins(np.where(known, sim, 0.0)) == bin_[:, None])
         r, c = np.nonzero(ok)
-        near = np.where(open_ & ~np.isnan(sim), sim, -np.inf)
-        order = np.argsort(ids, kind="stable")
-        best = order[near[:, order].argmax(axis=1)]
-        has = np.isfinite(near[np.arange(len(w)), best])
-        one, two = (w[r], ids[c], sim[r, c], verdict[r, c], bits[c]), (w[has], ids[best[has]], near[np.arange(len(w)), best][has], np.zeros(has.sum(), bool), np.zeros(has.sum(), np.int32))
-        cols = [np.concatenate([p, t]) for p, t in zip(one, two, strict=True)]
-        kind = np.concatenate([np.zeros(len(r), np.int32), np.ones(int(has.sum()), np.int32)])
-        return pa.table({"walk_id": cols[0], "kind": kind, "id": cols[1], "sim": pa.array(cols[2], from_pandas=True), "verdict": cols[3].astype(np.int32), "bits": cols[4].astype(np.int32)})
+        ids = x.column("id").to_numpy()
+        order = np.lexsort((ids[c], verdict[r, c], -sim[r, c], r))
+        r, c = r[order], c[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        r, c = r[place < k[r]], c[place < k[r]]
+        return pa.table({"walk_id": q.column("walk_id").to_numpy()[r], "id": ids[c], "sim": sim[r, c], "verdict": verdict[r, c].astype(np.int32)})
 
     return kernel
 
@@ -116,26 +173,14 @@ def _sims(q: pa.Table, x: pa.Table) -> np.ndarray:
     return np.round(blocks.rows_of(q.column("unit"), dim) @ blocks.rows_of(x.column("unit"), dim).T, 12)
 
 
-GATED = "walk_id bigint, kind int, id bigint, sim double, verdict int, bits int"
+GATED = "walk_id bigint, id bigint, sim double, verdict int, bits int"
+COUNTED = "walk_id bigint, kind int, key bigint, n bigint, id bigint, sim double"
 _SLIM = ["id", "slot", "bpm", "has_mood", *C.MOODS, "unit"]
 
 
-def first_nonempty_level(bits: Column, levels: int) -> Column:
-    out = F.lit(None).cast("int")
-    for k in reversed(range(levels)):
-        out = F.when(bits.bitwiseAND(1 << k) != 0, k).otherwise(out)
-    return out
-
-
-def at_rank(rows: DataFrame, target: DataFrame) -> DataFrame:
-    """The row of each walk that stands at ``want`` (1-based) by sim descending, verdict, id; bins narrow it down."""
-    binned = rows.withColumn("bin", F.floor((F.col("sim") + 1.0) * (BINS / 2)))
-    count = binned.groupBy("walk_id", "bin").agg(F.count("*").alias("n"))
-    run = count.withColumn("upto", F.sum("n").over(W.partitionBy("walk_id").orderBy(F.col("bin").desc())))
-    where = run.join(target.select("walk_id", "want"), "walk_id").where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("n") < F.col("want")))
-    place = where.select("walk_id", "bin", (F.col("want") - F.col("upto") + F.col("n")).alias("k"))
-    rank = F.row_number().over(W.partitionBy("walk_id", "bin").orderBy(F.col("sim").desc(), "verdict", "id"))
-    return binned.join(place, ["walk_id", "bin"]).withColumn("r", rank).where(F.col("r") == F.col("k")).select("walk_id", "id", "sim")
+def box_levels(counts: DataFrame) -> DataFrame:
+    """(walk_id, level): the first box that anything passes."""
+    return counts.where("kind = 0").groupBy("walk_id").agg(F.min("key").cast("int").alias("level"))
 
 
 def band_starts(n: Column, near: float, mid: float) -> dict[str, Column]:
@@ -151,26 +196,22 @@ def clap_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, sampler: Sam
     """
     s = sampler or Sampler()
     slim = durable(library.select(*_SLIM))
+    packed = blocks.packed_library(slim)
     here = seeds.select("walk_id", "id").join(slim.select("id", "slot", "bpm", "unit"), "id")
     state = durable(here.select("walk_id", "slot", "bpm", "unit", F.col("bpm").alias("seed_bpm"), F.array("id").alias("visited")))
-    entries, levels = [], len(s.boxes())
+    entries = []
     for step in range(limit):
         sched = s.band_schedule[step % len(s.band_schedule)]
         drift = (1 + s.tempo_drift_per_step) ** step
         centre = F.when(F.col("seed_bpm") > 0, F.col("seed_bpm") * F.lit(drift)).otherwise(F.col("bpm")) if s.tempo_drift_per_step else F.col("bpm")
-        gated = durable(blocks.cross(state.withColumn("centre", centre), slim, gate_kernel(s), GATED))
-        level = gated.where("kind = 0").groupBy("walk_id").agg(first_nonempty_level(F.bit_or("bits"), levels).alias("level"))
-        kept = gated.where("kind = 0").join(level, "walk_id").where((F.shiftright(F.col("bits"), 0).bitwiseAND(F.pow(F.lit(2), F.col("level")).cast("int")) != 0) & F.col("sim").isNotNull())
-        size = kept.groupBy("walk_id").agg(F.count("*").alias("n"), F.first("level").alias("level"))
-        start = band_starts(F.col("n"), s.near_quantile, s.mid_quantile)
-        label = F.coalesce(F.when(start[sched].isNotNull(), F.lit(sched)) if sched in start else F.lit(None), *[F.when(c.isNotNull(), F.lit(b)) for b, c in start.items()])
-        want = F.coalesce(start.get(sched, F.lit(None)), *start.values())
-        plan = size.select("walk_id", "n", "level", F.when(F.col("n") < SMALL, F.lit(1)).otherwise(want).alias("want"), F.when(F.col("n") < SMALL, F.lit(sched)).otherwise(label).alias("band"))
-        relaxed = F.when(F.col("level") > 0, F.concat(F.lit(", mood relaxed x"), F.col("level").cast("string"))).otherwise("")
-        text = F.when(F.col("n") < SMALL, F.concat(F.lit("Small library (n="), F.col("n").cast("string"), F.lit(f"<{SMALL}): greedy nearest-by-CLAP (sched {sched})"), relaxed)).otherwise(F.concat("band", F.lit(f" CLAP pick (sched {sched})"), relaxed))
-        picked = at_rank(kept, plan).join(plan, "walk_id").select("walk_id", "id", "sim", "band", text.alias("reason"))
-        spare = gated.where("kind = 1").groupBy("walk_id").agg(F.max_by(F.struct("id", "sim"), F.struct("sim", -F.col("id"))).alias("g"))
-        rest = spare.join(picked.select("walk_id"), "walk_id", "left_anti").select("walk_id", "g.id", "g.sim", F.lit(sched).alias("band"), F.lit(f"Fallback: gates empty, global-nearest-by-CLAP (sched {sched})").alias("reason"))
+        now = state.withColumn("centre", centre)
+        counts = durable(gate_counts(now, packed, s))
+        plan = durable(_plan(counts, s, sched))
+        rows = blocks.cross(now.join(plan.select("walk_id", "level", "bin", "k"), "walk_id"), packed, bin_kernel(s), "walk_id bigint, id bigint, sim double, verdict int")
+        rank = F.row_number().over(W.partitionBy("walk_id").orderBy(F.col("sim").desc(), "verdict", "id"))
+        picked = rows.withColumn("r", rank).join(plan, "walk_id").where("r = k").select("walk_id", "id", "sim", "band", "reason")
+        spare = counts.where("kind = 2").groupBy("walk_id").agg(F.max_by(F.struct("id", "sim"), F.struct("sim", -F.col("id"))).alias("g"))
+        rest = spare.join(plan.select("walk_id"), "walk_id", "left_anti").select("walk_id", "g.id", "g.sim", F.lit(sched).alias("band"), F.lit(f"Fallback: gates empty, global-nearest-by-CLAP (sched {sched})").alias("reason"))
         chosen = durable(picked.unionByName(rest))
         entries.append(chosen.select("walk_id", F.lit(step + 1).alias("position"), "id", "band", F.round(1 - F.col("sim"), 4).alias("distance"), "reason"))
         ahead = chosen.select("walk_id", "id").join(slim.select("id", "slot", "bpm", "unit"), "id")
@@ -181,6 +222,25 @@ def clap_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, sampler: Sam
     return out
 
 
+def _plan(counts: DataFrame, s: Sampler, sched: str) -> DataFrame:
+    """(walk_id, n, level, bin, k, band, reason): in which box and bin, at which place of it, each walk's pick stands."""
+    first = box_levels(counts)
+    binned = counts.where("kind = 1").groupBy("walk_id", "key").agg(F.sum("n").alias("c"))
+    kept = binned.join(first, "walk_id").where(F.floor(F.col("key") / BINS) == F.col("level")).select("walk_id", "level", (F.col("key") % BINS).alias("bin"), "c")
+    # at most BINS rows a walk
+    every = W.partitionBy("walk_id")
+    run = kept.withColumn("upto", F.sum("c").over(every.orderBy(F.col("bin").desc()))).withColumn("n", F.sum("c").over(every))
+    start = band_starts(F.col("n"), s.near_quantile, s.mid_quantile)
+    small = F.col("n") < SMALL
+    label = F.coalesce(F.when(start[sched].isNotNull(), F.lit(sched)) if sched in start else F.lit(None), *[F.when(c.isNotNull(), F.lit(b)) for b, c in start.items()])
+    want = F.when(small, F.lit(1)).otherwise(F.coalesce(start.get(sched, F.lit(None)), *start.values()))
+    at = run.withColumn("want", want).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))
+    band = F.when(small, F.lit(sched)).otherwise(label)
+    relaxed = F.when(F.col("level") > 0, F.concat(F.lit(", mood relaxed x"), F.col("level").cast("string"))).otherwise("")
+    text = F.when(small, F.concat(F.lit("Small library (n="), F.col("n").cast("string"), F.lit(f"<{SMALL}): greedy nearest-by-CLAP (sched {sched})"), relaxed)).otherwise(F.concat(band, F.lit(f" CLAP pick (sched {sched})"), relaxed))
+    return at.select("walk_id", "level", F.col("bin").cast("int").alias("bin"), (F.col("want") - F.col("upto") + F.col("c")).cast("int").alias("k"), band.alias("band"), text.alias("reason"))
+
+
 def axis_stats(library: DataFrame) -> DataFrame:
     """(axis, mu, sigma) over all rows, population deviation, 1 where there is none."""
     one = library.select(F.posexplode("vector").alias("axis", "v"))
@@ -193,18 +253,18 @@ def _stats(library: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.mu for r in rows]), np.array([r.sigma for r in rows])
 
 
-def legacy_kernel(sigma: np.ndarray, sched: str, hold: int, near: float = 0.3, mid: float = 0.7):
+def legacy_kernel(sigma: np.ndarray, sched: str, hold: int, near: float = 0.3, mid: float = 0.7, weights: np.ndarray | None = None):
     """Each block's best row of the scheduled band (kind 0) and nearest row at all (kind 1), by standardised distance."""
 
     def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
         ids = x.column("id").to_numpy()
-        d, other, raw = legacy_distances(blocks.rows_of(q.column("vector")), blocks.rows_of(x.column("vector")), sigma, hold)
-        open_ = ~np.array([np.isin(ids, v) for v in q.column("visited").to_pylist()])
+        d, other, raw = legacy_distances(blocks.rows_of(q.column("vector")), blocks.rows_of(x.column("vector")), sigma, hold, weights)
+        open_ = ~blocks.closed(ids, q.column("visited"))
         band = (d > 0) & (d <= near) if sched == "Near" else (d > near) & (d <= mid) if sched == "Mid" else (other > mid) & (raw <= near)
-        w, order, parts = q.column("walk_id").to_numpy(), np.argsort(ids, kind="stable"), []
+        w, parts = q.column("walk_id").to_numpy(), []
         for kind, ok in ((0, open_ & band), (1, open_)):
             masked = np.where(ok, d, np.inf)
-            best = order[masked[:, order].argmin(axis=1)]
+            best = masked.argmin(axis=1)
             has = np.isfinite(masked[np.arange(len(w)), best])
             parts.append((w[has], np.full(has.sum(), kind, np.int32), ids[best[has]], masked[np.arange(len(w)), best][has]))
         return pa.table(dict(zip(("walk_id", "kind", "id", "d"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
@@ -212,33 +272,39 @@ def legacy_kernel(sigma: np.ndarray, sched: str, hold: int, near: float = 0.3, m
     return kernel
 
 
-def legacy_distances(a: np.ndarray, b: np.ndarray, sigma: np.ndarray, hold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def legacy_distances(a: np.ndarray, b: np.ndarray, sigma: np.ndarray, hold: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distance, distance with the candidate's hold axis set to 0, raw difference on the hold axis)."""
     n = len(sigma)
+    weights = np.ones(n) if weights is None else weights
     total, parts = np.zeros((len(a), len(b))), None
     for k in range(n):
-        sq = ((a[:, None, k] - b[None, :, k]) / sigma[k]) ** 2
+        sq = ((a[:, None, k] - b[None, :, k]) / sigma[k]) ** 2 * weights[k]
         total += sq
         if k == hold:
             parts = sq
-    free = total - parts + ((a[:, hold] / sigma[hold]) ** 2)[:, None]
+    free = total - parts + ((a[:, hold] / sigma[hold]) ** 2 * weights[hold])[:, None]
     return np.round(np.sqrt(total / n), 12), np.round(np.sqrt(np.maximum(free, 0) / n), 12), np.abs(a[:, None, hold] - b[None, :, hold])
 
 
-def legacy_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, hold_axis: str = "tempo.bpm", schedule: tuple[str, ...] = ("Near", "Mid", "Far", "Mid", "Near"), actual_labels: bool = True) -> DataFrame:
-    """ENTRY rows of the standardised-Euclidean walk. ``actual_labels``: a fallback is named by its distance, else as scheduled."""
+def legacy_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, hold_axis: str = "tempo.bpm", schedule: tuple[str, ...] = ("Near", "Mid", "Far", "Mid", "Near"), actual_labels: bool = True, near: float = 0.3, mid: float = 0.7, weights: tuple[float, ...] = ()) -> DataFrame:
+    """ENTRY rows of the standardised-Euclidean walk. ``actual_labels``: a fallback is named by its distance, else as scheduled.
+
+    ``near`` and ``mid`` are the bands' greatest distances; an axis without a weight weighs 1.
+    """
     if hold_axis not in C.AXIS_NAMES:
         raise ValueError(f"unknown axis {hold_axis!r}")
     slim = durable(library.select("id", "vector"))
+    packed = blocks.packed_library(slim)
     _, sigma = _stats(slim)
+    weight = np.array([*weights, *[1.0] * len(sigma)])[: len(sigma)]
     state = durable(seeds.select("walk_id", "id").join(slim, "id").select("walk_id", "vector", F.array("id").alias("visited")))
     out = None
     for step in range(limit):
         sched = schedule[step % len(schedule)]
-        found = blocks.cross(state, slim, legacy_kernel(sigma, sched, C.AXIS_NAMES.index(hold_axis)), "walk_id bigint, kind int, id bigint, d double")
+        found = blocks.cross(state, packed, legacy_kernel(sigma, sched, C.AXIS_NAMES.index(hold_axis), near, mid, weight), "walk_id bigint, kind int, id bigint, d double")
         best = found.groupBy("walk_id").agg(F.min(F.struct("kind", "d", "id")).alias("b"))
         d = F.col("b.d")
-        actual = F.when(d <= 0.3, "Near").when(d <= 0.7, "Mid").otherwise("Far")
+        actual = F.when(d <= near, "Near").when(d <= mid, "Mid").otherwise("Far")
         hit = F.col("b.kind") == 0
         band = F.when(hit | F.lit(not actual_labels), F.lit(sched)).otherwise(actual)
         reason = F.when(hit, F.lit(f"{sched} band transition from seed")).otherwise(F.concat(F.lit(f"Fallback: scheduled {sched} empty, global-nearest (actual "), actual, F.lit(") from seed")))

@@ -110,21 +110,22 @@ def mood_box(s: SparkSession, d: str) -> DataFrame:
     return _plain(s, d).where(C.mood_passes({m: F.col(m) for m in C.MOODS}, {"mood.sad": {"min": 0.5}, "party": {"max": 0.6}})).select("id")
 
 
-def _gated(s: SparkSession, d: str, sampler: walk.Sampler) -> DataFrame:
+def _states(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(one state a query, the library)."""
     lib = durable(_lib(s, d).select(*walk._SLIM))
     state = _asked(lib).select(F.col("id").alias("walk_id"), "slot", "bpm", F.col("bpm").alias("centre"), "unit", F.array("id").alias("visited"))
-    return blocks.cross(state, lib, walk.gate_kernel(sampler), walk.GATED).where("kind = 0")
+    return state, lib
 
 
 @query
 def gate_filter(s: SparkSession, d: str) -> DataFrame:
-    return _gated(s, d, walk.Sampler()).select(F.col("walk_id").alias("query_id"), "id", "verdict")
+    state, lib = _states(s, d)
+    return blocks.cross(state, lib, walk.gate_kernel(walk.Sampler()), walk.GATED).select(F.col("walk_id").alias("query_id"), "id", "verdict")
 
 
 @query
 def mood_relax_levels(s: SparkSession, d: str) -> DataFrame:
-    sampler = walk.Sampler(mood_box=MOOD_BOX)
-    return _gated(s, d, sampler).groupBy(F.col("walk_id").alias("query_id")).agg(walk.first_nonempty_level(F.bit_or("bits"), len(sampler.boxes())).alias("level"))
+    return walk.box_levels(walk.gate_counts(*_states(s, d), walk.Sampler(mood_box=MOOD_BOX))).withColumnRenamed("walk_id", "query_id")
 
 
 def _units(s: SparkSession, d: str) -> DataFrame:
@@ -146,8 +147,7 @@ def global_nearest(s: SparkSession, d: str) -> DataFrame:
 @query
 def similarity_bands(s: SparkSession, d: str) -> DataFrame:
     lib = _units(s, d)
-    rows = similarity.bands(_asked(lib), lib)
-    return rows.groupBy("query_id", "band").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"), F.sum("id").alias("id_sum"), F.round(F.max("sim"), 6).alias("most"), F.round(F.min("sim"), 6).alias("least"))
+    return similarity.band_report(_asked(lib), lib).withColumns({c: F.round(c, 6) for c in ("most", "least")})
 
 
 def _walk(s: SparkSession, d: str, limit: int, sampler: walk.Sampler) -> DataFrame:
@@ -162,45 +162,48 @@ def playlist_walk(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def playlist_walk_drift(s: SparkSession, d: str) -> DataFrame:
-    return _walk(s, d, 5, walk.Sampler(tempo_drift_per_step=0.03))
+    return _walk(s, d, 9, walk.Sampler(tempo_drift_per_step=0.03))
 
 
 @query
 def playlist_walk_moodbox(s: SparkSession, d: str) -> DataFrame:
-    return _walk(s, d, 5, walk.Sampler(mood_box=MOOD_BOX))
+    return _walk(s, d, 9, walk.Sampler(mood_box=MOOD_BOX))
 
 
 @query
 def playlist_walk_fallback(s: SparkSession, d: str) -> DataFrame:
-    return _walk(s, d, 3, walk.Sampler(mood_box={"sad": {"min": 1.5}}))
+    return _walk(s, d, 9, walk.Sampler(mood_box={"sad": {"min": 1.5}}))
 
 
-def _pairs(s: SparkSession, d: str) -> DataFrame:
+def _pairs(s: SparkSession, d: str) -> tuple:
+    """(queries, library, deviations of embeddings, of feature vectors)."""
     base = library.sidecars(table(s, d, "tracks")).withColumn("raw", library.embedding()).where("raw is not null")
     lib = durable(base.select("id", "raw", C.l2_normalize(F.col("raw")).alias("unit"), "vector"))
     _, a = similarity.column_stats(lib, "raw")
     _, b = similarity.column_stats(lib, "vector")
-    return similarity.pair_distances(lib.where(F.col("id") % 20 == 0), lib, a, b)
+    return lib.where(F.col("id") % 20 == 0), lib, a, b
 
 
 @query
 def pairwise_report(s: SparkSession, d: str) -> DataFrame:
-    return _pairs(s, d).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 6).alias("mean_cosine"), F.round(F.avg("d_clap"), 6).alias("mean_clap"), F.round(F.avg("d_essentia"), 6).alias("mean_essentia"), F.round(F.min("cosine"), 6).alias("least_cosine"))
+    means = similarity.pair_means(*_pairs(s, d))
+    return means.withColumns({c: F.round(c, 6) for c in means.columns[2:]})
 
 
 @query
 def spearman_pairs(s: SparkSession, d: str) -> DataFrame:
-    return metrics.spearman(_pairs(s, d), "d_clap", "d_essentia").select("n", F.round("rho", 6).alias("rho"))
+    return metrics.spearman(similarity.pair_distances(*_pairs(s, d)), "d_clap", "d_essentia").select("n", F.round("rho", 6).alias("rho"))
 
 
 @query
 def nn_agreement(s: SparkSession, d: str) -> DataFrame:
-    return metrics.nn_agreement(durable(_pairs(s, d)), "d_clap", "d_essentia").select("n", F.round("exact_match", 6).alias("exact_match"), F.round("top3_overlap", 6).alias("top3_overlap"))
+    near = durable(similarity.pair_nearest(*_pairs(s, d)))
+    return metrics.nn_agreement(near, "d_clap", "d_essentia").select("n", F.round("exact_match", 6).alias("exact_match"), F.round("top3_overlap", 6).alias("top3_overlap"))
 
 
 @query
 def distance_cuts(s: SparkSession, d: str) -> DataFrame:
-    low, high = metrics.distance_cuts(durable(_pairs(s, d).select("d_clap")), "d_clap")
+    low, high = similarity.pair_cuts(*_pairs(s, d))
     return s.createDataFrame([(round(low, 6), round(high, 6))], "low double, high double")
 
 
@@ -217,21 +220,19 @@ def compare_walk(s: SparkSession, d: str) -> DataFrame:
     return metrics.compare_walk(lib, _asked(lib).select(F.col("id").alias("walk_id"), "id"), 9)
 
 
-def _directed(s: SparkSession, d: str) -> DataFrame:
+def _legacy_report(s: SparkSession, d: str) -> DataFrame:
     lib = durable(_plain(s, d).select("id", "vector"))
-    return similarity.directed(lib.where(F.col("id") % 20 == 0), lib, walk._stats(lib)[1], C.AXIS_NAMES.index("tempo.bpm"))
+    return similarity.legacy_report(lib.where(F.col("id") % 20 == 0), lib, walk._stats(lib)[1], C.AXIS_NAMES.index("tempo.bpm"))
 
 
 @query
 def legacy_bands(s: SparkSession, d: str) -> DataFrame:
-    rows = _directed(s, d).select("query_id", "d", similarity.legacy_band(F.col("d")).alias("band")).where("band is not null")
-    return rows.groupBy("query_id", "band").agg(F.count("*").alias("n"), F.round(F.min("d"), 6).alias("least"), F.round(F.max("d"), 6).alias("most"))
+    return _legacy_report(s, d).where("band <> 'Jump'").select("query_id", "band", "n", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
 
 
 @query
 def directed_jump(s: SparkSession, d: str) -> DataFrame:
-    far = _directed(s, d).where("free > 0.7 and held <= 0.3").groupBy("query_id").agg(F.min(F.struct("d", "id")).alias("b"), F.count("*").alias("n"))
-    return far.select("query_id", "b.id", "n", F.round("b.d", 6).alias("d"))
+    return _legacy_report(s, d).where("band = 'Jump'").select("query_id", "id", "n", F.round("d", 6).alias("d"))
 
 
 @query
@@ -240,6 +241,13 @@ def legacy_walk(s: SparkSession, d: str) -> DataFrame:
     return walk.legacy_walk(lib, lib.where(F.col("id") % 20 == 0).select(F.col("id").alias("walk_id"), "id"))
 
 
+@query
+def legacy_walk_scheduled(s: SparkSession, d: str) -> DataFrame:
+    """As ``legacy_walk``, each entry labelled as its step was scheduled."""
+    lib = _plain(s, d).select("id", "vector")
+    return walk.legacy_walk(lib, lib.where(F.col("id") % 20 == 0).select(F.col("id").alias("walk_id"), "id"), actual_labels=False).select("walk_id", "position", "id", "band")
+
+
 @query
 def anchor_adherence(s: SparkSession, d: str) -> DataFrame:
     lists = _playlists(s, d)

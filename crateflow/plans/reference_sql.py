@@ -221,9 +221,9 @@ fl as (select sampler, ({verdict("pslot", "slot")}) <> 'block' as key_ok, case w
         "global_nearest": f"{q}, sims as (select q.id as query_id, l.id, round(list_inner_product(q.unit, l.unit), 12) as sim from q, lib l where l.unit is not null and l.id <> q.id), rk as (select *, row_number() over (partition by query_id order by sim desc, id) as rank from sims) select query_id, id, round(1 - sim, 4) as distance from rk where rank = 1",
         "similarity_bands": f"{q}, sims as (select q.id as query_id, l.id, round(list_inner_product(q.unit, l.unit), 12) as sim from q, lib l where l.unit is not null and l.id <> q.id), rk as (select *, row_number() over (partition by query_id order by sim desc, id) as rank, count(*) over (partition by query_id) as n from sims), b as (select *, case when rank > ceil(n * 0.4::double) then 'Far' when rank > ceil(n * 0.1::double) then 'Mid' else 'Near' end as band from rk) select query_id, band, count(*) as n, min(rank) as first_rank, sum(id)::bigint as id_sum, round(max(sim), 6) as most, round(min(sim), 6) as least from b group by 1, 2",
         "playlist_walk": walk(Sampler(), 9),
-        "playlist_walk_drift": walk(Sampler(tempo_drift_per_step=0.03), 5),
-        "playlist_walk_moodbox": walk(box, 5),
-        "playlist_walk_fallback": walk(Sampler(mood_box={"sad": {"min": 1.5}}), 3),
+        "playlist_walk_drift": walk(Sampler(tempo_drift_per_step=0.03), 9),
+        "playlist_walk_moodbox": walk(box, 9),
+        "playlist_walk_fallback": walk(Sampler(mood_box={"sad": {"min": 1.5}}), 9),
         "pairwise_report": f"{lib}, {_ZED} select query_id, count(*) as n, round(avg(cosine), 6) as mean_cosine, round(avg(d_clap), 6) as mean_clap, round(avg(d_essentia), 6) as mean_essentia, round(min(cosine), 6) as least_cosine from pairs group by query_id",
         "spearman_pairs": f"{lib}, {_ZED}, r as (select {_rank('d_clap', 'ra')}, {_rank('d_essentia', 'rb')} from pairs) select count(*) as n, round(corr(ra, rb), 6) as rho from r",
         "nn_agreement": f"{lib}, {_ZED}, r as (select query_id, id, row_number() over (partition by query_id order by d_clap, id) as ra, row_number() over (partition by query_id order by d_essentia, id) as rb from pairs), h as (select query_id, count(*) filter (where ra <= 3 and rb <= 3) as hits, max(case when ra = 1 and rb = 1 then 1 else 0 end) as same from r group by query_id) select count(*) as n, round(avg(same), 6) as exact_match, round(avg(hits / 3.0), 6) as top3_overlap from h",
@@ -233,6 +233,7 @@ fl as (select sampler, ({verdict("pslot", "slot")}) <> 'block' as key_ok, case w
         "directed_jump": f"{lib}, {STATS}, d as (select s.id as query_id, l.id, {legacy_distance('s.vector', 'l.vector')} as d, abs(s.vector[4] - l.vector[4]) as held, round(sqrt(greatest(list_sum(list_transform(range(1, 21), lambda i: case when i = 4 then power(s.vector[4] / sig.s[4], 2) else power((s.vector[i] - l.vector[i]) / sig.s[i], 2) end)), 0) / 20), 12) as free from lib s, lib l, sig where s.id % 20 = 0 and s.id <> l.id), f as (select *, row_number() over (partition by query_id order by d, id) as k, count(*) over (partition by query_id) as n from d where free > 0.7 and held <= 0.3) select query_id, id, n, round(d, 6) as d from f where k = 1",
         "compare_walk": compare_walk(9),
         "legacy_walk": legacy_walk(9),
+        "legacy_walk_scheduled": f"select walk_id, position, id, case (position - 1) % 5 when 0 then 'Near' when 2 then 'Far' when 4 then 'Near' else 'Mid' end as band from ({legacy_walk(9)})",
         "anchor_adherence": anchors + " select sampler, 1.0::double as mood, round(avg(key_ok::int), 6) as key, round(avg(tempo_ok::int), 6) as tempo, count(*) filter (where not key_ok) as key_violations from fl group by sampler",
         "band_means": f"with {PLAYED} select sampler, coalesce(band, '?') as band, round(avg(coalesce(distance, 0.0)), 6) as mean_distance, count(*) as n from pe join pl using (playlist_id) group by 1, 2",
         "stale_rows": f"{lib} select id, {_STALE} as stale from lib",
