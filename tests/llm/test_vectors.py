@@ -47,6 +47,30 @@ def test_several_shards(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_a_crowded_place_is_split_with_its_queries(spark, monkeypatch):
+    monkeypatch.setattr(V, "SHARD", 100)
+    monkeypatch.setattr(V, "SHARD_MOST", 200)
+    rng = np.random.default_rng(9)
+    bunches = np.eye(DIM)[0] + 0.15 * rng.standard_normal((250, DIM))
+    dense = np.repeat(bunches, 8, axis=0) + 0.01 * rng.standard_normal((2000, DIM))
+    data = [(i, v) for i, v in enumerate(np.vstack([dense, rng.standard_normal((500, DIM))]).tolist())] + [(10_000 + i, dense[0].tolist()) for i in range(1000)]
+    df = table(spark, data)
+    routed = V.route(V.nodes(df, "id", "clap_embedding"), len(data), DIM)
+    per = {r.shard: r.n for r in routed.groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    # ten times SHARD_MOST in one place, and 1,000 copies of one vector: no shard holds more than a few times SHARD_MOST
+    assert len(per) > 10 and max(n for s, n in per.items() if s >= 0) < 3 * V.SHARD_MOST
+    assert sum(n for s, n in per.items() if s < 0) == len(data)
+    got = {(r.id, r.near_id) for r in V.most_similar(df.where("id < 10000"), k=5, least=0.75, dim=DIM).where("id % 50 = 0").collect()}
+    want = {p for p in brute([(i, v) for i, v in data if i < 10_000 and i < 2000], 5, 0.75) if p[0] % 50 == 0}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_centroids_of_a_sample_that_cannot_be_split():
+    same = np.tile(np.eye(DIM)[0], (100, 1)).astype(np.float16)
+    assert len(V.fit_centroids(same, 10**6)) <= V.SPLIT
+    assert V.fit_centroids(np.zeros((0, DIM), np.float16), 0).shape == (1, DIM)
+
+
 def test_copies_and_bad_vectors(spark):
     a, b = np.eye(DIM)[0], np.eye(DIM)[1]
     nan = a.copy()
@@ -99,6 +123,39 @@ def test_block_and_distributed_flow_agree(spark, monkeypatch, block):
     assert sorted(map(sorted, parts.values())) == [[1, 2, 3], [4, 5, 6], [8, 9]]
 
 
+def test_both_ways_of_squaring_agree(spark):
+    rng = np.random.default_rng(6)
+    edges = {}
+    for _ in range(4):
+        for i, j in rng.integers(0, 60, (150, 2)).tolist():
+            a, b = sorted((i % 20 + 20 * (j % 3), j % 20 + 20 * (j % 3)))
+            if a != b:
+                edges[a, b] = round(0.75 + 0.2 * float(rng.random()), 3)
+    edges |= {(3, 23): 0.75, (25, 45): 0.75}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "node bigint, near bigint, cos double")
+    here, apart = ({r.node: (r.cluster, round(r.flow, 6), r.settled) for r in M.cluster(df, block, rounds=4).collect()} for block in (2000, 1))
+
+    def parts(x):
+        out = {}
+        for node, (c, *_) in x.items():
+            out.setdefault(c, set()).add(node)
+        return sorted(map(sorted, out.values()))
+
+    # so few rounds that the flow hasn't come to rest: both say so
+    assert parts(here) == parts(apart) and not any(s for *_, s in here.values())
+    assert {n: v[1:] for n, v in here.items()} == {n: v[1:] for n, v in apart.items()}
+
+
+def test_sparse_and_dense_blocks_agree():
+    rng = np.random.default_rng(8)
+    m = np.where(rng.random((40, 40)) < 0.2, rng.random((40, 40)), 0)
+    i, j = np.nonzero(m)
+    a, b, v = M._squared(40, i, j, m[i, j])
+    full = np.zeros((40, 40))
+    full[a, b] = v
+    assert np.allclose(full, m @ m)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "node bigint, near bigint")
     assert {(r.node, r.comp) for r in M.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
