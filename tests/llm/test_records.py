@@ -118,3 +118,20 @@ def test_canonical_text_without_letters():
 def test_rounding():
     assert D.canonical_key("a", "b", 219.550000001) == D.canonical_key("a", "b", 219.55)
     assert pytest.approx(1) == 1
+
+
+def test_a_filter_larger_than_a_slice_and_chunks_smaller_than_a_partition(spark, monkeypatch):
+    from crateflow.llm import format_duplicates as D
+
+    monkeypatch.setattr(D, "BITS_PER_ROW", 1 << 14)
+    rows = [(i, f"Song {i % 700}", "Some One", 10.0) for i in range(1000)] + [(5000 + i, "hot song!", "some ONE", 10.0) for i in range(500)] + [(9000, None, "x", 1.0)]
+    df = spark.createDataFrame(rows, "id bigint, title string, artist string, duration_sec double")
+    keys = D.keyed(df).repartition(3).cache()
+    assert D._blocks(len(rows)) > 8
+    want = {r.h for r in keys.groupBy("h").count().where("count > 1 and h is not null").collect()}
+    for most, chunk in ((1, 50), (4000, 200), (1 << 30, 1 << 20)):
+        got = D.possible_repeats(keys, len(rows), most, chunk).collect()
+        assert sorted(r.id for r in got) == sorted(r[0] for r in rows)
+        found = {r.h for r in got if r.maybe}
+        assert want <= found and len(found) < len(want) + 20
+    assert D.slices([(3, 5), (7, 5), (8, 20)], 10, 10) == [(0, 8), (8, 10)] and D.slices([], 4, 10) == [(0, 4)]
