@@ -28,6 +28,11 @@ def _prefix(level: int) -> Column:
     return F.shiftrightunsigned(F.col("h"), 64 - BITS * level)
 
 
+def _table(sized: DataFrame, rows: list[tuple], shape: str) -> DataFrame:
+    """A row per source, to be joined: a query's size doesn't depend on the number of sources."""
+    return sized.sparkSession.createDataFrame(rows, shape)
+
+
 def budgets(sized: DataFrame, targets: DataFrame, total: int | None = None) -> dict[str, dict]:
     """Per source: available tokens, target share, budget; ``total`` None is the largest mix that keeps the shares."""
     have = {r.source: r.tokens for r in sized.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect() if r.tokens}
@@ -56,15 +61,11 @@ def thresholds(sized: DataFrame, plan: dict[str, dict]) -> dict[str, tuple[int,
     for level in range(1, LEVELS + 1):
         if not open_:
             break
-        inside = F.lit(False)
-        for s, (prefix, _) in open_.items():
-            inside |= (F.col("source") == s) & (F.lit(True) if level == 1 else _prefix(level - 1) == prefix)
-        counts = sized.where(inside & (F.col("tokens") > 0)).groupBy("source", _prefix(level).alias("p")).agg(F.sum("tokens").alias("n"), F.count("*").alias("k"))
+        wanted = _table(sized, [(s, prefix, rest) for s, (prefix, rest) in open_.items()], "source string, at bigint, room bigint")
+        inside = sized.where("tokens > 0").join(wanted, "source").where(F.lit(True) if level == 1 else _prefix(level - 1) == F.col("at"))
+        counts = inside.groupBy("source", "room", _prefix(level).alias("p")).agg(F.sum("tokens").alias("n"), F.count("*").alias("k"))
         run = counts.withColumn("upto", F.sum("n").over(W.partitionBy("source").orderBy("p")))
-        room = F.lit(0)
-        for s, (_, rest) in open_.items():
-            room = F.when(F.col("source") == s, rest).otherwise(room)
-        over = run.where(F.col("upto") > room).groupBy("source").agg(F.min(F.struct("p", "upto", "n", "k")).alias("x")).collect()
+        over = run.where(F.col("upto") > F.col("room")).groupBy("source").agg(F.min(F.struct("p", "upto", "n", "k")).alias("x")).collect()
         for r in over:
             whole, rest = out[r.source][0], open_[r.source][1] - (r.x.upto - r.x.n)
             # a last record that ends nearer to the budget than its start is used too
@@ -82,10 +83,10 @@ def thresholds(sized: DataFrame, plan: dict[str, dict]) -> dict[str, tuple[int,
 
 def mixed(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
     """(id, source, tokens, uses): the records used, and how many times."""
-    uses = F.lit(0)
-    for s, (whole, level, prefix) in thresholds(sized, budgets(sized, targets, total)).items():
-        uses = F.when(F.col("source") == s, whole + (_prefix(level) < prefix).cast("int")).otherwise(uses)
-    return sized.select("id", "source", "tokens", uses.cast("int").alias("uses")).where((F.col("uses") > 0) & (F.col("tokens") > 0))
+    plan = [(s, *at) for s, at in thresholds(sized, budgets(sized, targets, total)).items()]
+    used = sized.where("tokens > 0").join(_table(sized, plan, "source string, whole int, level int, prefix bigint"), "source")
+    uses = F.col("whole") + F.expr(f"shiftrightunsigned(h, 64 - {BITS} * level) < prefix").cast("int")
+    return used.select("id", "source", "tokens", uses.cast("int").alias("uses")).where(F.col("uses") > 0)
 
 
 def report(sized: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:

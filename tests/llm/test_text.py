@@ -103,3 +103,10 @@ def test_best_fit_is_tight():
 
     boxes = packing.best_fit(np.array([6, 5, 5, 4, 4, 3, 3]), 10)
     assert boxes.max() == 2 and pytest.approx(1) == 1
+
+
+def test_mixing_many_sources(spark):
+    rows = [(i, f"host{i % 400}", 1 + i % 9) for i in range(4000)]
+    t = spark.createDataFrame([(f"host{k}", 1 / 400, 2) for k in range(400)], "source string, target_share double, max_repeats int")
+    r = mixing.report(sized(spark, rows), t).collect()
+    assert len(r) == 400 and max(x.most_uses for x in r) <= 2 and all(abs(x.used_tokens - x.budget_tokens) <= 9 for x in r)
