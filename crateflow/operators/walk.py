@@ -253,37 +253,98 @@ def _stats(library: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.mu for r in rows]), np.array([r.sigma for r in rows])
 
 
-def legacy_kernel(sigma: np.ndarray, sched: str, hold: int, near: float = 0.3, mid: float = 0.7, weights: np.ndarray | None = None):
-    """Each block's best row of the scheduled band (kind 0) and nearest row at all (kind 1), by standardised distance."""
+#: Library rows compared at a time, few at first, and pairs whose distance is computed exactly at once.
+CHUNKS, TOGETHER = (64, 256, 1024), 1 << 16
 
-    def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
-        ids = x.column("id").to_numpy()
-        d, other, raw = legacy_distances(blocks.rows_of(q.column("vector")), blocks.rows_of(x.column("vector")), sigma, hold, weights)
-        open_ = ~blocks.closed(ids, q.column("visited"))
+
+def legacy_best(state: DataFrame, packed: DataFrame, sigma: np.ndarray, centre: np.ndarray, sched: str, hold: int, near: float = 0.3, mid: float = 0.7, weights: np.ndarray | None = None) -> DataFrame:
+    """(walk_id, kind, id, d): a task's best row of the scheduled band (kind 0), else its nearest row at all (kind 1), by standardised distance.
+
+    A matrix product gives every distance but for rounding; the distance proper, its band and whether the
+    row was visited are only computed where a pair may be better than the walk's best so far.
+    """
+    n = len(sigma)
+    weights = np.ones(n) if weights is None else weights
+    scale = np.sqrt(np.abs(weights)) / sigma / np.sqrt(n)
+    # a negative weight is no distance: every pair is computed
+    bounded = bool((weights >= 0).all())
+    reach = {"Near": near, "Mid": mid}.get(sched, np.inf)
+
+    def start(q: pa.Table) -> dict:
+        lists, a = q.column("visited").to_pylist(), blocks.rows_of(q.column("vector"))
+        longest = max(map(len, lists), default=0)
+        z = (a - centre) * scale
+        norm = (z * z).sum(axis=1)
+        return {
+            "a": a,
+            "z": np.hstack([-2 * z, norm[:, None], np.ones((len(z), 1))]),
+            "norm": norm,
+            "visited": np.array([v + v[-1:] * (longest - len(v)) for v in lists], np.int64).reshape(len(lists), longest),
+            "d": np.full((2, q.num_rows), np.inf),
+            "id": np.full((2, q.num_rows), np.iinfo(np.int64).max),
+        }
+
+    def look(s: dict, b: np.ndarray, ids: np.ndarray, r: np.ndarray, c: np.ndarray) -> None:
+        d, other, raw = _legacy(((s["a"][r, k], b[c, k]) for k in range(n)), sigma, hold, weights)
+        open_ = (s["visited"][r] != ids[c][:, None]).all(axis=1)
         band = (d > 0) & (d <= near) if sched == "Near" else (d > near) & (d <= mid) if sched == "Mid" else (other > mid) & (raw <= near)
-        w, parts = q.column("walk_id").to_numpy(), []
         for kind, ok in ((0, open_ & band), (1, open_)):
-            masked = np.where(ok, d, np.inf)
-            best = masked.argmin(axis=1)
-            has = np.isfinite(masked[np.arange(len(w)), best])
-            parts.append((w[has], np.full(has.sum(), kind, np.int32), ids[best[has]], masked[np.arange(len(w)), best][has]))
-        return pa.table(dict(zip(("walk_id", "kind", "id", "d"), (np.concatenate(c) for c in zip(*parts, strict=True)), strict=True)))
-
-    return kernel
+            hit = np.flatnonzero(ok & np.isfinite(d))
+            hit = hit[np.lexsort((ids[c[hit]], d[hit], r[hit]))]
+            hit = hit[np.r_[True, r[hit][1:] != r[hit][:-1]]] if len(hit) else hit
+            w, v, i = r[hit], d[hit], ids[c[hit]]
+            better = (v < s["d"][kind][w]) | ((v == s["d"][kind][w]) & (i < s["id"][kind][w]))
+            s["d"][kind][w[better]], s["id"][kind][w[better]] = v[better], i[better]
+
+    def add(s: dict, q: pa.Table, x: pa.Table) -> None:
+        b, ids = blocks.rows_of(x.column("vector")), x.column("id").to_numpy()
+        z = (b - centre) * scale
+        norm = (z * z).sum(axis=1)
+        z = np.hstack([z, np.ones((len(z), 1)), norm[:, None]])
+        at = 0
+        for size in (*CHUNKS, *[CHUNKS[-1]] * (len(b) // CHUNKS[-1] + 1)):
+            part = slice(at, at + size)
+            at += size
+            if not len(ids[part]):
+                break
+            sq = s["z"] @ z[part].T
+            off = 1e-12 + 1e-13 * (s["norm"] + norm[part].max())
+            best, any_ = ((v + 1e-9) ** 2 + off for v in (np.minimum(s["d"][0], reach), s["d"][1]))
+            # the nearest at all only counts where the band has nothing
+            any_ = np.where(np.isfinite(s["d"][0]), -np.inf, any_)
+            if not bounded:
+                may = np.ones(sq.shape, bool)
+            elif sched in ("Near", "Mid"):
+                may = ~(sq > np.maximum(best, any_)[:, None])
+            else:
+                may = ~(sq > best[:, None]) & ~(np.abs(s["a"][:, hold][:, None] - b[part, hold][None, :]) > near)
+                may |= ~(sq > any_[:, None])
+            flat = np.flatnonzero(may)
+            for k in range(0, len(flat), TOGETHER):
+                look(s, b[part], ids[part], *np.divmod(flat[k : k + TOGETHER], sq.shape[1]))
+
+    def end(s: dict, q: pa.Table) -> pa.Table:
+        kind, r = np.nonzero(np.isfinite(s["d"]))
+        return pa.table({"walk_id": q.column("walk_id").to_numpy()[r], "kind": kind.astype(np.int32), "id": s["id"][kind, r], "d": s["d"][kind, r]})
+
+    return blocks.tally(blocks.packed_queries(state), packed, start, add, end, "walk_id bigint, kind int, id bigint, d double")
 
 
 def legacy_distances(a: np.ndarray, b: np.ndarray, sigma: np.ndarray, hold: int, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distance, distance with the candidate's hold axis set to 0, raw difference on the hold axis)."""
-    n = len(sigma)
-    weights = np.ones(n) if weights is None else weights
-    total, parts = np.zeros((len(a), len(b))), None
-    for k in range(n):
-        sq = ((a[:, None, k] - b[None, :, k]) / sigma[k]) ** 2 * weights[k]
-        total += sq
+    return _legacy(((a[:, None, k], b[None, :, k]) for k in range(len(sigma))), sigma, hold, np.ones(len(sigma)) if weights is None else weights)
+
+
+def _legacy(axes, sigma: np.ndarray, hold: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``legacy_distances`` of two sides that are given axis by axis."""
+    total = parts = own = raw = None
+    for k, (a, b) in enumerate(axes):
+        sq = ((a - b) / sigma[k]) ** 2 * weights[k]
         if k == hold:
-            parts = sq
-    free = total - parts + ((a[:, hold] / sigma[hold]) ** 2 * weights[hold])[:, None]
-    return np.round(np.sqrt(total / n), 12), np.round(np.sqrt(np.maximum(free, 0) / n), 12), np.abs(a[:, None, hold] - b[None, :, hold])
+            parts, own, raw = sq.copy(), (a / sigma[k]) ** 2 * weights[k], np.abs(a - b)
+        total = sq if total is None else np.add(total, sq, out=total)
+    free = total - parts + own
+    return np.round(np.sqrt(total / len(sigma)), 12), np.round(np.sqrt(np.maximum(free, 0) / len(sigma)), 12), raw
 
 
 def legacy_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, hold_axis: str = "tempo.bpm", schedule: tuple[str, ...] = ("Near", "Mid", "Far", "Mid", "Near"), actual_labels: bool = True, near: float = 0.3, mid: float = 0.7, weights: tuple[float, ...] = ()) -> DataFrame:
@@ -295,13 +356,13 @@ def legacy_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, hold_axis:
         raise ValueError(f"unknown axis {hold_axis!r}")
     slim = durable(library.select("id", "vector"))
     packed = blocks.packed_library(slim)
-    _, sigma = _stats(slim)
+    mean, sigma = _stats(slim)
     weight = np.array([*weights, *[1.0] * len(sigma)])[: len(sigma)]
     state = durable(seeds.select("walk_id", "id").join(slim, "id").select("walk_id", "vector", F.array("id").alias("visited")))
     out = None
     for step in range(limit):
         sched = schedule[step % len(schedule)]
-        found = blocks.cross(state, packed, legacy_kernel(sigma, sched, C.AXIS_NAMES.index(hold_axis), near, mid, weight), "walk_id bigint, kind int, id bigint, d double")
+        found = legacy_best(state, packed, sigma, mean, sched, C.AXIS_NAMES.index(hold_axis), near, mid, weight)
         best = found.groupBy("walk_id").agg(F.min(F.struct("kind", "d", "id")).alias("b"))
         d = F.col("b.d")
         actual = F.when(d <= near, "Near").when(d <= mid, "Mid").otherwise("Far")
