@@ -1,14 +1,16 @@
 """Playlist walks, all seeds at once.
 
-A walk is sequential in its steps and independent of other walks: each step takes the states of all walks
-over the library twice, in blocks. The first pass applies the gates and counts survivors by mood box and
-similarity bin, summed over a task's blocks; the counts say which box counts and in which bin, at which
-place, a walk's scheduled band begins. The second pass brings that bin's best rows only. No table of
-survivors exists. States are checkpointed each step, the library's blocks once.
+A walk is sequential in its steps and independent of other walks: a task takes a share of the walks through
+all their steps, over a library that stands in files once (``shelf``), in the order of tempo. How many rows
+pass a walk's gates, and so at which place its scheduled band begins, is counted from sorted tempos. One
+pass over the rows that the tempo gate allows finds the row at that place: a sample says between which
+cosines to look, the counts say whether it was right. No table of survivors exists.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,10 +20,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crateflow.functions import columns as C
-from crateflow.operators import blocks
+from crateflow.operators import blocks, shelf
 from crateflow.session import durable
 
 SMALL = 20
+#: The slot of a track without one.
+NO_SLOT = 24
+#: Survivors from which a sample tells where to look, and at least every how many-th row it takes.
+SAMPLED, STRIDE = 8192, 16
+#: Walks that a task takes at a time, and walks that meet the library together.
+WALKS, TOGETHER_WALKS = 4096, 128
 RELAXATIONS = 3
 BINS = 256
 ENTRY = "walk_id bigint, position int, id bigint, band string, distance double, reason string"
@@ -147,25 +155,6 @@ def gate_counts(state: DataFrame, library: DataFrame, s: Sampler) -> DataFrame:
     return blocks.tally(state, library, start, add, end, COUNTED)
 
 
-def bin_kernel(s: Sampler):
-    """The best ``k`` survivors of each walk's box and bin in a block."""
-
-    def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
-        sim, _, ok, verdict, bits = _gated(q, x, s)
-        level, bin_, k = (q.column(c).to_numpy() for c in ("level", "bin", "k"))
-        known = ~np.isnan(sim)
-        ok &= known & (bits[None, :] >> level[:, None] & 1 == 1) & (_bins(np.where(known, sim, 0.0)) == bin_[:, None])
-        r, c = np.nonzero(ok)
-        ids = x.column("id").to_numpy()
-        order = np.lexsort((ids[c], verdict[r, c], -sim[r, c], r))
-        r, c = r[order], c[order]
-        place = np.arange(len(r)) - np.searchsorted(r, r)
-        r, c = r[place < k[r]], c[place < k[r]]
-        return pa.table({"walk_id": q.column("walk_id").to_numpy()[r], "id": ids[c], "sim": sim[r, c], "verdict": verdict[r, c].astype(np.int32)})
-
-    return kernel
-
-
 def _sims(q: pa.Table, x: pa.Table) -> np.ndarray:
     """Cosines of unit rows, NaN where either has no embedding."""
     dim = next((len(v) for t in (q, x) for v in t.column("unit").combine_chunks().drop_null()[:1].to_pylist()), 1)
@@ -189,56 +178,303 @@ def band_starts(n: Column, near: float, mid: float) -> dict[str, Column]:
     return {"Near": F.when((n > 0) & (n_near > 0), F.lit(1)), "Mid": F.when(upto - n_near > 0, n_near + 1).cast("long"), "Far": F.when(upto < n, F.greatest(upto, F.lit(0)) + 1).cast("long")}
 
 
+def _gate_columns(s: Sampler):
+    """What a walk's gates need of a library row: ``id``, ``slot`` (24 for none), ``bpm`` (0 for none) and the boxes it passes."""
+
+    def prepare(t: pa.Table) -> pa.Table:
+        slot, bpm = t.column("slot").to_numpy(zero_copy_only=False).astype(float), t.column("bpm").to_numpy(zero_copy_only=False).astype(float)
+        with np.errstate(invalid="ignore"):
+            return pa.table({"id": t.column("id"), "slot": np.where(np.isnan(slot), NO_SLOT, np.nan_to_num(slot) % NO_SLOT).astype(np.int32), "bpm": np.where(bpm > 0, bpm, 0.0), "bits": _levels(t, s)})
+
+    return prepare
+
+
+def _tempo_ends(now: np.ndarray, centre: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest tempo above 0 that passes, exact to the last bit; any where there is none now."""
+    some = centre > 0
+    c = np.where(some, centre, 1.0)
+    ends = []
+    for sign in (-1, 1):
+        edge = c + sign * share * c
+        with np.errstate(invalid="ignore", over="ignore"):
+            for _ in range(64):
+                edge = np.where(np.abs(edge - c) / c > share, np.nextafter(edge, c), edge)
+            for _ in range(64):
+                wider = np.nextafter(edge, sign * np.inf)
+                edge = np.where(np.abs(wider - c) / c <= share, wider, edge)
+        ends.append(edge)
+    none = ~some | ~(np.abs(c - c) / c <= share)
+    low, high = np.where(none, np.inf, ends[0]), np.where(none, -np.inf, ends[1])
+    return np.where(now > 0, low, -np.inf), np.where(now > 0, high, np.inf)
+
+
+class _Gates:
+    """Survivors of the gates counted without a comparison: tempos in order, by slot and box."""
+
+    def __init__(self, lib, s: Sampler):
+        self.lib, self.s, self.levels = lib, s, len(s.boxes())
+        self.slot, self.bpm, self.bits = (lib.plain[c] for c in ("slot", "bpm", "bits"))
+        gap = np.abs(np.arange(NO_SLOT)[:, None] - np.arange(NO_SLOT)[None, :])
+        #: Steps between slots; none where one isn't known.
+        self.steps = np.zeros((NO_SLOT + 1, NO_SLOT + 1), np.int64)
+        self.steps[:NO_SLOT, :NO_SLOT] = np.minimum(gap, NO_SLOT - gap)
+        self.open = self.steps <= s.key_max_steps + 2
+        self.verdict = (self.steps > s.key_max_steps).astype(np.int64)
+        self.tempos: dict[tuple[bool, int, int], np.ndarray] = {}
+        for known in (True, False):
+            # rows without an embedding only say which box counts, where they may be missing at all
+            rows = lib.known if known else ~lib.known & (s.allow_missing_clap | lib.plain["there"])
+            for k in range(self.levels):
+                hit = rows & (self.bits >> k & 1 == 1)
+                for g in range(NO_SLOT + 1):
+                    self.tempos[known, k, g] = np.sort(self.bpm[hit & (self.slot == g)])
+
+    def counts(self, slot: np.ndarray, low: np.ndarray, high: np.ndarray, closed: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(survivors, survivors with an embedding) of each walk by box, without what it visited."""
+        any_, known = np.zeros((len(slot), self.levels), np.int64), np.zeros((len(slot), self.levels), np.int64)
+        for (there, k, g), tempos in self.tempos.items():
+            r = np.flatnonzero(self.open[slot, g]) if len(tempos) else ()
+            if not len(r):
+                continue
+            none = np.searchsorted(tempos, 0.0, side="right")
+            n = none + np.maximum(np.searchsorted(tempos, high[r], side="right") - np.maximum(np.searchsorted(tempos, low[r], side="left"), none), 0)
+            any_[r, k] += n
+            if there:
+                known[r, k] += n
+        r, p = closed
+        b = self.bpm[p]
+        fits = self.open[slot[r], self.slot[p]] & ((b <= 0) | (b >= low[r]) & (b <= high[r])) & self.lib.known[p]
+        for k in range(self.levels):
+            lost = np.bincount(r[fits & (self.bits[p] >> k & 1 == 1)], minlength=len(slot))
+            any_[:, k] -= lost
+            known[:, k] -= lost
+        return any_, known
+
+
+def _want(n: int, s: Sampler, sched: str) -> tuple[int, str] | None:
+    """(place among ``n`` survivors, band) of a walk's pick; none where no band has a row."""
+    if n < SMALL:
+        return (1, sched) if n else None
+    near, upto = math.ceil(n * s.near_quantile), math.ceil(n * s.mid_quantile)
+    start = {"Near": 1 if near > 0 else None, "Mid": near + 1 if upto > near else None, "Far": max(upto, 0) + 1 if upto < n else None}
+    band = next((b for b in (sched, *start) if start.get(b) is not None), None)
+    return None if band is None or not 1 <= start[band] <= n else (start[band], band)
+
+
+class _Chunk:
+    """Walks whose picks are looked for together: their rank-th of all open rows, or of the gates' survivors."""
+
+    def __init__(self, gates: _Gates, units: np.ndarray, slot: np.ndarray, low: np.ndarray, high: np.ndarray, rank: np.ndarray, n: np.ndarray, level: int | None, closed: tuple[np.ndarray, np.ndarray]):
+        self.gates, self.lib, self.units, self.slot, self.low, self.high, self.rank, self.n, self.level, self.closed = gates, gates.lib, units, slot, low, high, rank, n, level, closed
+        self.bias = np.where(gates.open[slot], 0, -np.inf).astype(np.float32)
+
+    def spans(self, stride: int = 1) -> Iterator[tuple[int, int, slice | np.ndarray]]:
+        starts = self.lib.starts
+        for k in range(len(starts) - 1):
+            at, end = int(starts[k]), int(starts[k + 1])
+            parts = [(0, end - at)]
+            if self.level is not None:
+                b = self.gates.bpm[at:end]
+                none = int(np.searchsorted(b, 0.0, side="right"))
+                first, last = max(none, int(np.searchsorted(b, self.low.min(), side="left"))), int(np.searchsorted(b, self.high.max(), side="right"))
+                parts = [(0, none), (first, last)] if first > none else [(0, max(none, last))]
+            for a, z in parts:
+                for lo in range(a, z, shelf.WIDE * stride):
+                    hi = min(z, lo + shelf.WIDE * stride)
+                    cols = slice(0, hi - lo, stride)
+                    ok = self.lib.known[at + lo : at + hi : stride]
+                    if self.level is not None and self.gates.levels > 1:
+                        ok = ok & (self.gates.bits[at + lo : at + hi : stride] >> self.level & 1 == 1)
+                    if not ok.all():
+                        cols = np.flatnonzero(ok) * stride
+                        if not len(cols):
+                            continue
+                    yield k, lo, cols
+
+    def cosines(self, stride: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(places, cosines), minus infinity where a row is closed or held back by a gate."""
+        r, p = self.closed
+        for places, d in self.lib.products(self.units, self.spans(stride)):
+            if self.level is not None:
+                b = self.gates.bpm[places]
+                none = int(np.searchsorted(b, 0.0, side="right"))
+                first, last = np.maximum(none, np.searchsorted(b, self.low, side="left")), np.searchsorted(b, self.high, side="right")
+                for row in np.flatnonzero((first > none) | (last < len(b))):
+                    d[row, none : first[row]] = -np.inf
+                    d[row, max(none, last[row]) :] = -np.inf
+                d += np.take(self.bias, self.gates.slot[places], axis=1)
+            c = np.minimum(np.searchsorted(places, p), len(places) - 1)
+            hit = places[c] == p
+            d[r[hit], c[hit]] = -np.inf
+            yield places, d
+
+    def window(self) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines between which the pick of each walk most likely is, told from a sample of the rows; the counts decide."""
+        low, high = np.full(len(self.n), -np.inf, np.float32), np.full(len(self.n), np.inf, np.float32)
+        if self.n.max(initial=0) < SAMPLED:
+            return low, high
+        stride = max(STRIDE, int(self.n.max()) // SAMPLED)
+        sample = -np.sort(-np.hstack([d for _, d in self.cosines(stride)]), axis=1)
+        m = np.isfinite(sample).sum(axis=1)
+        share = self.rank / np.maximum(self.n, 1)
+        at = share * m
+        off = 4.5 * np.sqrt(np.maximum(at * (1 - share), 0)) + 4
+        every = np.arange(len(m))
+        below, above = np.ceil(at + off).astype(np.int64), np.floor(at - off).astype(np.int64)
+        below[self.n < SAMPLED], above[self.n < SAMPLED] = len(sample[0]), -1
+        low = np.where(below < m, sample[every, np.clip(below, 0, sample.shape[1] - 1)], low)
+        high = np.where((above >= 0) & (above < m), sample[every, np.clip(above, 0, sample.shape[1] - 1)], high)
+        return low, high
+
+    def picks(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place, cosine) of each walk's pick, place -1 where there is none."""
+        place, sim = np.full(len(self.n), -1, np.int64), np.full(len(self.n), np.nan)
+        low, high = self.window()
+        todo = np.arange(len(self.n))
+        while len(todo):
+            part = self if len(todo) == len(self.n) else self.only(todo)
+            done, p, v = part.within(low, high)
+            place[todo[done]], sim[todo[done]] = p[done], v[done]
+            # what the window missed is looked for among all rows
+            todo, low, high = todo[~done], np.full((~done).sum(), -np.inf, np.float32), np.full((~done).sum(), np.inf, np.float32)
+        return place, sim
+
+    def only(self, rows: np.ndarray) -> _Chunk:
+        new = np.full(len(self.n), -1)
+        new[rows] = np.arange(len(rows))
+        r, p = self.closed
+        kept = new[r] >= 0
+        return _Chunk(self.gates, self.units[rows], self.slot[rows], self.low[rows], self.high[rows], self.rank[rows], self.n[rows], self.level, (new[r[kept]], p[kept]))
+
+    def within(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(whether the pick could be told, place, cosine) from the rows between two cosines of each walk."""
+        count, n = np.zeros(len(low), np.int64), len(low)
+        found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+        for places, d in self.cosines():
+            over = d > high[:, None]
+            count += np.count_nonzero(over, axis=1)
+            flat = np.flatnonzero((d >= low[:, None]) & ~over)
+            s = d.ravel()[flat]
+            if not np.isfinite(low).all():
+                flat, s = flat[np.isfinite(s)], s[np.isfinite(s)]
+            r, c = np.divmod(flat, d.shape[1])
+            found.append((r, places[c], s))
+        r, p, s = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(r, kind="stable")
+        r, p, s = r[order], p[order], s[order]
+        ends = np.searchsorted(r, np.arange(n + 1))
+        error = 2 * self.lib.error
+        done, left, near = np.ones(n, bool), self.rank - count, []
+        for k in range(n):
+            own, want = s[ends[k] : ends[k + 1]], left[k]
+            if not 1 <= want <= len(own):
+                # with all rows in view there is no such place
+                done[k] = not (np.isfinite(low[k]) or np.isfinite(high[k]))
+                continue
+            t = np.partition(own, len(own) - want)[len(own) - want]
+            if t - error < low[k] or t + error > high[k]:
+                done[k] = False
+                continue
+            left[k] -= np.count_nonzero(own > t + error)
+            near.append(ends[k] + np.flatnonzero((own >= t - error) & (own <= t + error)))
+        place, sim = np.full(n, -1, np.int64), np.full(n, np.nan)
+        if near:
+            at = np.concatenate(near)
+            r, p = r[at], p[at]
+            v = self.lib.cosines(self.units, r, p)
+            verdict = self.gates.verdict[self.slot[r], self.gates.slot[p]] if self.level is not None else np.zeros(len(r), np.int64)
+            order = np.lexsort((self.lib.plain["id"][p], verdict, -v, r))
+            r, p, v = r[order], p[order], v[order]
+            hit = np.flatnonzero(np.arange(len(r)) - np.searchsorted(r, r) == left[r] - 1)
+            place[r[hit]], sim[r[hit]] = p[hit], v[hit]
+        return done, place, sim
+
+
+def _walked(lib, gates: _Gates, walk_id: np.ndarray, seed: np.ndarray, limit: int, s: Sampler) -> Iterator[dict]:
+    """The entries of these walks, step by step."""
+    r, p = lib.places(seed[:, None])
+    keep = lib.known[p]
+    r, at = r[keep], p[keep]
+    walk_id, visited, seed_bpm = walk_id[r], seed[r][:, None], gates.bpm[at]
+    for step in range(limit):
+        if not len(at):
+            break
+        sched = s.band_schedule[step % len(s.band_schedule)]
+        units, slot, now = lib.units(at), gates.slot[at], gates.bpm[at]
+        centre = np.where(seed_bpm > 0, seed_bpm * (1 + s.tempo_drift_per_step) ** step, now) if s.tempo_drift_per_step else now
+        low, high = _tempo_ends(now, centre, s.tempo_max_step_pct)
+        cr, cp = lib.places(visited)
+        any_, known = gates.counts(slot, low, high, (cr, cp))
+        level = np.where((any_ > 0).any(axis=1), (any_ > 0).argmax(axis=1), -1)
+        n = np.where(level >= 0, known[np.arange(len(at)), level], 0)
+        wanted = [_want(int(k), s, sched) for k in n]
+        level = np.where([w is None for w in wanted], -1, level)
+        rank = np.array([w[0] if w else 1 for w in wanted], np.int64)
+        every = int(lib.known.sum())
+        n_all = every - np.bincount(cr[lib.known[cp]], minlength=len(at))
+        place, sim = np.full(len(at), -1, np.int64), np.full(len(at), np.nan)
+        for k in np.unique(level):
+            own = np.flatnonzero(level == k)
+            own = own[np.lexsort((high[own], low[own]))]
+            for a in range(0, len(own), TOGETHER_WALKS):
+                rows = own[a : a + TOGETHER_WALKS]
+                new = np.full(len(at), -1)
+                new[rows] = np.arange(len(rows))
+                mine = new[cr] >= 0
+                chunk = _Chunk(gates, units[rows], slot[rows], low[rows], high[rows], rank[rows], (n if k >= 0 else n_all)[rows], None if k < 0 else int(k), (new[cr[mine]], cp[mine]))
+                place[rows], sim[rows] = chunk.picks()
+        text, bands = [], []
+        for w, k, m in zip(wanted, level, n, strict=True):
+            relaxed = f", mood relaxed x{k}" if k > 0 else ""
+            band = w[1] if w else sched
+            bands.append(band)
+            text.append(f"Fallback: gates empty, global-nearest-by-CLAP (sched {sched})" if w is None else f"Small library (n={m}<{SMALL}): greedy nearest-by-CLAP (sched {sched}){relaxed}" if m < SMALL else f"{band} CLAP pick (sched {sched}){relaxed}")
+        go = np.flatnonzero(place >= 0)
+        ids = lib.plain["id"][place[go]]
+        yield {"walk_id": walk_id[go], "position": np.full(len(go), step + 1, np.int32), "id": ids, "band": np.array(bands, object)[go], "sim": sim[go], "reason": np.array(text, object)[go]}
+        walk_id, at, seed_bpm, visited = walk_id[go], place[go], seed_bpm[go], np.hstack([visited[go], ids[:, None]])
+
+
 def clap_walk(library: DataFrame, seeds: DataFrame, limit: int = 9, sampler: Sampler | None = None) -> DataFrame:
     """ENTRY rows of the gated, banded walk from each seed; ``seeds``: (walk_id, id).
 
-    A walk ends early where the current track has no embedding or nothing is left.
+    A walk ends early where the current track has no embedding or nothing is left. ``library`` has the
+    embeddings as they are stored (``raw``) or at unit length (``unit``).
     """
     s = sampler or Sampler()
-    slim = durable(library.select(*_SLIM))
-    packed = blocks.packed_library(slim)
-    here = seeds.select("walk_id", "id").join(slim.select("id", "slot", "bpm", "unit"), "id")
-    state = durable(here.select("walk_id", "slot", "bpm", "unit", F.col("bpm").alias("seed_bpm"), F.array("id").alias("visited")))
-    entries = []
-    for step in range(limit):
-        sched = s.band_schedule[step % len(s.band_schedule)]
-        drift = (1 + s.tempo_drift_per_step) ** step
-        centre = F.when(F.col("seed_bpm") > 0, F.col("seed_bpm") * F.lit(drift)).otherwise(F.col("bpm")) if s.tempo_drift_per_step else F.col("bpm")
-        now = state.withColumn("centre", centre)
-        counts = durable(gate_counts(now, packed, s))
-        plan = durable(_plan(counts, s, sched))
-        rows = blocks.cross(now.join(plan.select("walk_id", "level", "bin", "k"), "walk_id"), packed, bin_kernel(s), "walk_id bigint, id bigint, sim double, verdict int")
-        rank = F.row_number().over(W.partitionBy("walk_id").orderBy(F.col("sim").desc(), "verdict", "id"))
-        picked = rows.withColumn("r", rank).join(plan, "walk_id").where("r = k").select("walk_id", "id", "sim", "band", "reason")
-        spare = counts.where("kind = 2").groupBy("walk_id").agg(F.max_by(F.struct("id", "sim"), F.struct("sim", -F.col("id"))).alias("g"))
-        rest = spare.join(plan.select("walk_id"), "walk_id", "left_anti").select("walk_id", "g.id", "g.sim", F.lit(sched).alias("band"), F.lit(f"Fallback: gates empty, global-nearest-by-CLAP (sched {sched})").alias("reason"))
-        chosen = durable(picked.unionByName(rest))
-        entries.append(chosen.select("walk_id", F.lit(step + 1).alias("position"), "id", "band", F.round(1 - F.col("sim"), 4).alias("distance"), "reason"))
-        ahead = chosen.select("walk_id", "id").join(slim.select("id", "slot", "bpm", "unit"), "id")
-        state = durable(ahead.join(state.select("walk_id", "seed_bpm", "visited"), "walk_id").select("walk_id", "slot", "bpm", "unit", "seed_bpm", F.array_append("visited", F.col("id")).alias("visited")))
-    out = entries[0] if entries else library.sparkSession.createDataFrame([], ENTRY)
-    for more in entries[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _plan(counts: DataFrame, s: Sampler, sched: str) -> DataFrame:
-    """(walk_id, n, level, bin, k, band, reason): in which box and bin, at which place of it, each walk's pick stands."""
-    first = box_levels(counts)
-    binned = counts.where("kind = 1").groupBy("walk_id", "key").agg(F.sum("n").alias("c"))
-    kept = binned.join(first, "walk_id").where(F.floor(F.col("key") / BINS) == F.col("level")).select("walk_id", "level", (F.col("key") % BINS).alias("bin"), "c")
-    # at most BINS rows a walk
-    every = W.partitionBy("walk_id")
-    run = kept.withColumn("upto", F.sum("c").over(every.orderBy(F.col("bin").desc()))).withColumn("n", F.sum("c").over(every))
-    start = band_starts(F.col("n"), s.near_quantile, s.mid_quantile)
-    small = F.col("n") < SMALL
-    label = F.coalesce(F.when(start[sched].isNotNull(), F.lit(sched)) if sched in start else F.lit(None), *[F.when(c.isNotNull(), F.lit(b)) for b, c in start.items()])
-    want = F.when(small, F.lit(1)).otherwise(F.coalesce(start.get(sched, F.lit(None)), *start.values()))
-    at = run.withColumn("want", want).where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("c") < F.col("want")))
-    band = F.when(small, F.lit(sched)).otherwise(label)
-    relaxed = F.when(F.col("level") > 0, F.concat(F.lit(", mood relaxed x"), F.col("level").cast("string"))).otherwise("")
-    text = F.when(small, F.concat(F.lit("Small library (n="), F.col("n").cast("string"), F.lit(f"<{SMALL}): greedy nearest-by-CLAP (sched {sched})"), relaxed)).otherwise(F.concat(band, F.lit(f" CLAP pick (sched {sched})"), relaxed))
-    return at.select("walk_id", "level", F.col("bin").cast("int").alias("bin"), (F.col("want") - F.col("upto") + F.col("c")).cast("int").alias("k"), band.alias("band"), text.alias("reason"))
+    spark = library.sparkSession
+    vector = "raw" if "raw" in library.columns else "unit"
+    shelved = shelf.shelve(library.select(*[c for c in _SLIM if c != "unit"], F.col(vector).isNotNull().alias("there"), F.col(vector).alias("x")), "x", _prepared(s), "bpm")
+    tasks = max(spark.sparkContext.defaultParallelism, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lib = gates = None
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.Table.from_batches(parts)
+        lib = shelved.open()
+        if not len(lib.starts) > 1:
+            return
+        gates = _Gates(lib, s)
+        ids, seed = (t.column(c).to_numpy() for c in ("walk_id", "id"))
+        for at in range(0, len(ids), WALKS):
+            for rows in _walked(lib, gates, ids[at : at + WALKS], seed[at : at + WALKS], limit, s):
+                yield pa.record_batch([pa.array(rows[c], type_) for c, type_ in _FOUND.items()], names=list(_FOUND))
+
+    try:
+        found = durable(seeds.select("walk_id", "id").repartition(tasks).mapInArrow(run, "walk_id bigint, position int, id bigint, band string, sim double, reason string"))
+    finally:
+        shelved.drop()
+    return found.select("walk_id", "position", "id", "band", F.round(1 - F.col("sim"), 4).alias("distance"), "reason")
+
+
+_FOUND = {"walk_id": pa.int64(), "position": pa.int32(), "id": pa.int64(), "band": pa.string(), "sim": pa.float64(), "reason": pa.string()}
+
+
+def _prepared(s: Sampler):
+    plain = _gate_columns(s)
+    return lambda t: plain(t).append_column("there", t.column("there"))
 
 
 def axis_stats(library: DataFrame) -> DataFrame:
