@@ -69,3 +69,14 @@ def test_cuts_are_exact_and_small_libraries_end(spark):
     assert metrics.compare_walk(lib.where("id = 0"), seeds).collect() == []
     assert [r.id for r in metrics.compare_walk(lib.where("id < 3"), seeds).orderBy("position").collect()] in ([1, 2], [2, 1])
     assert metrics.compare_walk(lib, seeds, schedule=("near?",)).collect() == []
+
+
+def test_cuts_and_walks_over_several_files_of_stored_vectors(spark):
+    v = embeddings()
+    v[20] *= np.float32(1e-30)
+    d = distances(v.astype(float) * np.where(np.arange(N) == 20, 1e30, 1)[:, None])
+    lib = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(N + 1, None)], "id bigint, raw array<float>").repartition(5)
+    assert metrics.all_pair_cuts(lib) == pytest.approx(cuts(d), abs=2e-12)
+    seeds = spark.createDataFrame([(s, s) for s in (3, 20, N + 1)], "walk_id bigint, id bigint")
+    got = sorted(tuple(r)[:4] for r in metrics.compare_walk(lib, seeds, 4).collect())
+    assert got == [r[:4] for s in (3, 20) for r in brute(d, s, 4)]
