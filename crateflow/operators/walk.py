@@ -84,7 +84,11 @@ def _levels(x: pa.Table, s: Sampler) -> np.ndarray:
 
 def _gated(q: pa.Table, x: pa.Table, s: Sampler) -> tuple[np.ndarray, ...]:
     """(similarities, open rows, survivors of tempo and key gates, penalised ones, box bits of the library's rows)."""
-    sim = _sims(q, x)
+    return _sims(q, x), *_passed(q, x, s)
+
+
+def _passed(q: pa.Table, x: pa.Table, s: Sampler) -> tuple[np.ndarray, ...]:
+    """As ``_gated``, without similarities; a library without embeddings says which rows have one (``there``)."""
     open_ = ~blocks.closed(x.column("id").to_numpy(), q.column("visited"))
     bits = _levels(x, s)
     a, b = (t.column("slot").to_numpy(zero_copy_only=False).astype(float) for t in (q, x))
@@ -97,17 +101,18 @@ def _gated(q: pa.Table, x: pa.Table, s: Sampler) -> tuple[np.ndarray, ...]:
     off = (now[:, None] > 0) & (bpm[None, :] > 0) & far
     ok = open_ & ~block & ~off & (bits > 0)[None, :]
     if not s.allow_missing_clap:
-        ok &= x.column("unit").is_valid().to_numpy(zero_copy_only=False)[None, :]
-    return sim, open_, ok, (steps > s.key_max_steps) & ~block, bits
+        there = x.column("there") if "there" in x.column_names else x.column("unit").is_valid()
+        ok &= there.to_numpy(zero_copy_only=False)[None, :]
+    return open_, ok, (steps > s.key_max_steps) & ~block, bits
 
 
 def gate_kernel(s: Sampler):
     """Every survivor of the gates, for callers that want them all."""
 
     def kernel(q: pa.Table, x: pa.Table) -> pa.Table:
-        sim, _, ok, verdict, bits = _gated(q, x, s)
-        r, c = np.nonzero(ok)
-        return pa.table({"walk_id": q.column("walk_id").to_numpy()[r], "id": x.column("id").to_numpy()[c], "sim": pa.array(sim[r, c], from_pandas=True), "verdict": verdict[r, c].astype(np.int32), "bits": bits[c]})
+        _, ok, verdict, _ = _passed(q, x, s)
+        r, c = np.divmod(np.flatnonzero(ok), ok.shape[1]) if ok.size else np.nonzero(ok)
+        return pa.table({"walk_id": q.column("walk_id").to_numpy()[r], "id": x.column("id").to_numpy()[c], "verdict": verdict[r, c].astype(np.int32)})
 
     return kernel
 
@@ -162,7 +167,7 @@ def _sims(q: pa.Table, x: pa.Table) -> np.ndarray:
     return np.round(blocks.rows_of(q.column("unit"), dim) @ blocks.rows_of(x.column("unit"), dim).T, 12)
 
 
-GATED = "walk_id bigint, id bigint, sim double, verdict int, bits int"
+GATED = "walk_id bigint, id bigint, verdict int"
 COUNTED = "walk_id bigint, kind int, key bigint, n bigint, id bigint, sim double"
 _SLIM = ["id", "slot", "bpm", "has_mood", *C.MOODS, "unit"]
 

@@ -82,3 +82,15 @@ def test_a_window_that_misses_is_looked_at_again(files, monkeypatch):
     monkeypatch.setattr(walk._Chunk, "window", lambda self: (np.full(5, 0.9, np.float32), np.full(5, 0.95, np.float32)))
     again = chunk.picks()
     assert (again[0] == place).all() and (again[1] == sim).all()
+
+
+def test_gates_alone_need_no_embeddings(spark):
+    from crateflow.operators import blocks
+
+    rows = [(i, i % 24, 100.0 + i, False, *[None] * len(walk.C.MOODS), i != 2) for i in range(1, 7)]
+    names = [c for c in walk._SLIM if c != "unit"]
+    types = ["bigint", "int", "double", "boolean", *["double"] * len(walk.C.MOODS)]
+    lib = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip(names, types, strict=True)) + ", there boolean")
+    state = lib.where("id = 1").selectExpr("id as walk_id", "slot", "bpm", "bpm as centre", "array(id) as visited")
+    got = sorted(map(tuple, blocks.cross(state, lib, walk.gate_kernel(walk.Sampler()), walk.GATED).collect()))
+    assert got == [(1, 3, 0), (1, 4, 1), (1, 5, 1)]
