@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crateflow.session import durable
+from crateflow.session import durable, shuffle_partitions
 
 #: Single-byte codes in which UTF-8 bytes get shown.
 SHOWN_AS = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251", "cp1250", "cp1253", "cp1254", "koi8_r", "cp866", "iso8859_2")
@@ -389,7 +389,8 @@ def _values(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def fit(records: DataFrame, fields: tuple[str, ...], rounds: int = 2) -> Model:
-    values = durable(_values(records, fields).distinct())
+    # few bytes, much work: as many tasks as any shuffle has
+    values = durable(_values(records, fields).distinct().repartition(shuffle_partitions(records.sparkSession)))
     model = count_clean(values, None)
     for _ in range(rounds - 1):
         model = count_clean(values, model)

@@ -20,6 +20,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from math import ceil, log
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crateflow.llm import garbled_text
-from crateflow.session import durable
+from crateflow.session import durable, shuffle_partitions
 
 SLOTS = 1 << 18
 Q, ROWS = 2, 3
@@ -45,6 +46,9 @@ RARE, INITIAL = 0.004, 0.1
 #: Fewer nodes say too little about shares: a word is then as rare as if it stood among so many.
 FEW = 15_000
 
+#: Words whose letters and slots a process keeps, and pairs of words whose similarity a task keeps from batch to batch.
+WORDS, MET = 1 << 16, 1 << 18
+
 #: Given names and their common short forms.
 NICKNAMES = {
     "alexander": "alex sandy sasha alec xander lex",
@@ -158,6 +162,7 @@ def is_credit(value: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=WORDS)
 def slot(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) & (SLOTS - 1)
 
@@ -224,10 +229,19 @@ def minhashes(gs: set[str], n: int) -> np.ndarray:
     return (((h[None, :] * a[:, None] + b[:, None]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).min(axis=1)
 
 
+@lru_cache(maxsize=WORDS)
+def letters(word: str) -> frozenset[str]:
+    return frozenset(word)
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Edit distance with transpositions, or more than ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # an edit brings at most one letter that the other word lacks
+    x, y = letters(a), letters(b)
+    if len(x - y) > most or len(y - x) > most:
+        return most + 1
     two, one = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         row = [i]
@@ -263,39 +277,56 @@ def inner(a: str, b: str, counts: np.ndarray) -> float:
         if at == len(p) and (a.endswith(".") or q.startswith(p)):
             return 0.85
     most = 1 if len(q) <= 5 else 2
-    d = edits(p, q, most)
-    if d > most or len(p) < 4:
+    if len(p) < 4 or len(q) - len(p) > most:
         return 0.0
     m, n = sorted((counts[slot(p)], counts[slot(q)]))
     # two words that are both well known are no typo of each other
-    if m > 3 and m > 0.25 * n and (d > 1 or m > 20):
+    known = m > 3 and m > 0.25 * n
+    if known and m > 20:
+        return 0.0
+    d = edits(p, q, 1 if known else most)
+    if d > (1 if known else most):
         return 0.0
     return 1 - d / (2 * len(q))
 
 
-def score(a: list[str], b: list[str], counts: np.ndarray, nodes: int) -> float:
+def score(a: list[str], b: list[str], counts: np.ndarray, nodes: int, met: dict[tuple[str, str], float] | None = None) -> float:
     """Monge-Elkan similarity of two token lists; 0 where they can't name the same artist.
 
     ``counts``: in how many of the ``nodes`` each hashed token stands; only their shares decide how rare
-    the matched words are together.
+    the matched words are together. ``met`` keeps what pairs of words gave, for as long as ``counts`` are the same.
     """
+    met = {} if met is None else met
     if len(a) > len(b):
         a, b = b, a
-    if "".join(sorted(t.rstrip(".") for t in a)) == "".join(sorted(t.rstrip(".") for t in b)):
+    own, others = [t.rstrip(".") for t in a], [t.rstrip(".") for t in b]
+    if "".join(sorted(own)) == "".join(sorted(others)):
         return 1.0
-    ja, jb = "".join(x.rstrip(".") for x in a), "".join(x.rstrip(".") for x in b)
+    ja, jb = "".join(own), "".join(others)
     if ja == jb and len(ja) > 5:
         return 1.0
     left, total, chance, whole = list(range(len(b))), 0.0, 1.0, len(a) == len(b)
     word = False
     for x in sorted(a, key=lambda t: (-len(t), t)):
-        best, at = max(((inner(x, b[k], counts), -k) for k in left), default=(0.0, 0))
+        best, at, p = 0.0, 0, x.rstrip(".")
+        for k in left:
+            if others[k] == p:
+                # nothing is nearer than the same word
+                best, at = 1.0, -k
+                break
+            near = met.get((x, b[k]))
+            if near is None:
+                near = inner(x, b[k], counts)
+                if len(met) < MET:
+                    met[x, b[k]] = near
+            if near > best:
+                best, at = near, -k
         if best < 0.7:
             return 0.0
         left.remove(-at)
         total += best
-        longer = min(counts[slot(x.rstrip("."))], counts[slot(b[-at].rstrip("."))])
-        least = min(len(x.rstrip(".")), len(b[-at].rstrip(".")))
+        longer = min(counts[slot(p)], counts[slot(others[-at])])
+        least = min(len(p), len(others[-at]))
         chance *= min(1.0, longer / max(nodes, FEW)) if least > 2 else INITIAL if least == 1 else 1.0
         word = word or least > 2
         whole = whole and least > 2
@@ -313,7 +344,9 @@ def score(a: list[str], b: list[str], counts: np.ndarray, nodes: int) -> float:
 
 def names(records: DataFrame, name: str = "artist", title: str = "title") -> DataFrame:
     """(name, n, key, tokens) of every distinct value that names one artist."""
-    counted = durable(records.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("name")).agg(F.count("*").alias("n")))
+    counted = records.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("name")).agg(F.count("*").alias("n"))
+    # few bytes, much work: as many tasks as any shuffle has
+    counted = durable(counted.repartition(shuffle_partitions(records.sparkSession)))
     titles = records.select(F.col(title).cast("string").alias("v")).where("v is not null").distinct()
     in_names, in_titles = token_counts(counted.select("name")), token_counts(titles)
     model = garbled_text.fit(records, (title, name))
@@ -355,8 +388,11 @@ def links(nodes: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
             yield pd.DataFrame({"key": key, "band": np.concatenate(band).view(np.int64) if band else np.zeros(0, np.int64)})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        met: dict[tuple[str, str], float] = {}
         for pdf in batches:
-            s = [score(list(x), list(y), shared.value, n) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
+            if len(met) >= MET:
+                met.clear()
+            s = [score(list(x), list(y), shared.value, n, met) for x, y in zip(pdf["ta"], pdf["tb"], strict=True)]
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": s})
             yield out[out["score"] >= LEAST_SCORE]
 
