@@ -342,6 +342,37 @@ def score(a: list[str], b: list[str], counts: np.ndarray, nodes: int, met: dict[
     return total / len(a) - 0.02 * initials - 0.1 * len(words)
 
 
+_TOLD = {w for pair in _SHORT for w in pair}
+#: Bits of a word's code that tell its letters, then its length, first letter, and whether it has short forms or is one.
+LETTERS = 40
+
+
+@lru_cache(maxsize=WORDS)
+def code(word: str) -> int:
+    """What of a word says that another can't be similar to it."""
+    told = sum(1 << k for k in {zlib.crc32(c.encode("utf-8", "surrogatepass")) % LETTERS for c in word})
+    return told | min(len(word), 63) << LETTERS | (ord(word[0]) & 255 if word else 0) << LETTERS + 6 | (word in _TOLD) << LETTERS + 14
+
+
+def whole(found: list[str]) -> int:
+    """The letters of all words, in an order of their own."""
+    return zlib.crc32("".join(sorted("".join(t.rstrip(".") for t in found))).encode("utf-8", "surrogatepass"))
+
+
+def possible(x: str, y: str) -> str:
+    """SQL: whether two names (``codes``, ``whole``) can have a score above 0, each word of the shorter one a similar word in the other.
+
+    Never false where ``score`` isn't 0: ``inner`` asks for two edits at most, the same first letter before an initial or
+    abbreviation, or a nickname.
+    """
+    m = (1 << LETTERS) - 1
+    near = f"bit_count(s & ~t & {m}L) <= 2 and bit_count(t & ~s & {m}L) <= 2 and abs((shiftright(s, {LETTERS}) & 63) - (shiftright(t, {LETTERS}) & 63)) <= 2"
+    begins = f"(shiftright(s ^ t, {LETTERS + 6}) & 255) = 0 and least(shiftright(s, {LETTERS}) & 63, shiftright(t, {LETTERS}) & 63) <= 4"
+    told = f"(shiftright(s & t, {LETTERS + 14}) & 1) = 1"
+    less, more = (f"case when size({x}.codes) {op} size({y}.codes) then {a}.codes else {b}.codes end" for op, a, b in (("<=", x, y), ("<=", y, x)))
+    return f"{x}.whole = {y}.whole or forall({less}, s -> exists({more}, t -> ({near}) or ({begins}) or {told}))"
+
+
 def names(records: DataFrame, name: str = "artist", title: str = "title") -> DataFrame:
     """(name, n, key, tokens) of every distinct value that names one artist."""
     counted = records.where(F.col(name).isNotNull()).groupBy(F.col(name).cast("string").alias("name")).agg(F.count("*").alias("n"))
@@ -378,14 +409,16 @@ def links(nodes: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            key, band = [], []
+            key, band, codes, letters_ = [], [], [], []
             for k, found in zip(pdf["key"], pdf["tokens"], strict=True):
                 h = minhashes(grams(list(found), shared.value, common), b_n * ROWS).reshape(b_n, ROWS)
                 band.append(h[:, 0] * np.uint64(0x9E3779B97F4A7C15) + h[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[:, 2] * np.uint64(0x165667B19E3779F9) + np.arange(b_n, dtype=np.uint64))
                 more = combinations(list(found), shared.value, common)
                 band.append(np.array(sorted(more), np.int64).view(np.uint64))
                 key += [k] * (b_n + len(more))
-            yield pd.DataFrame({"key": key, "band": np.concatenate(band).view(np.int64) if band else np.zeros(0, np.int64)})
+                codes += [[code(t.rstrip(".")) for t in found]] * (b_n + len(more))
+                letters_ += [whole(list(found))] * (b_n + len(more))
+            yield pd.DataFrame({"key": key, "band": np.concatenate(band).view(np.int64) if band else np.zeros(0, np.int64), "codes": codes, "whole": np.array(letters_, np.int64)})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         met: dict[tuple[str, str], float] = {}
@@ -396,8 +429,9 @@ def links(nodes: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
             out = pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "score": s})
             yield out[out["score"] >= LEAST_SCORE]
 
-    rows = durable(nodes.select("key", "tokens").mapInPandas(banded, "key string, band bigint"))
-    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.band") == F.col("y.band")).where("x.key < y.key").select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
+    rows = durable(nodes.select("key", "tokens").mapInPandas(banded, "key string, band bigint, codes array<bigint>, whole bigint"))
+    # most that meet in a band can't be similar: they are told apart where they meet, and go no further
+    pairs = rows.alias("x").join(rows.alias("y"), F.col("x.band") == F.col("y.band")).where("x.key < y.key").where(possible("x", "y")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
     full = pairs.join(nodes.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(nodes.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
     return full.mapInPandas(verify, "a string, b string, score double")
 
